@@ -173,6 +173,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     )
 
 
+def keep_clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", size: int = 10) -> DataFrame:
+    """The rows of docs, with their columns, that hold no window of a benchmark item."""
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(text).alias("t"))
+    found = search(rows, benchmark, "row", "t", size)
+    return found.filter(F.size("spans") == 0).select("row.*")
+
+
 def digest(items: list[str]) -> str:
     """items_sha256 of a list of items (for tests)."""
     return sha256(",".join(sorted(items)).encode()).hexdigest()

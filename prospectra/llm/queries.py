@@ -5,15 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, quality, secret_scan, simhash, token_counts, toxicity
+from . import bpe, decontaminate, html_extract, license_scan, quality, secret_scan, simhash, substring_dedup, token_counts, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_substring_dedup(spark, sf_dir):
+    return substring_dedup.dedup_report(_table(spark, sf_dir, "documents"))
+
+
 def op2_toxicity(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents")
     scorer = toxicity.fit(docs, _table(spark, sf_dir, "labels"))
@@ -32,10 +35,18 @@ def op5_token_counts(spark, sf_dir):
     return token_counts.token_report(_table(spark, sf_dir, "documents"))
 
 
+def op6_license_scan(spark, sf_dir):
+    return license_scan.license_report(_table(spark, sf_dir, "documents"))
+
+
 def op7_quality_rules(spark, sf_dir):
     return quality.quality_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op8_html_extraction(spark, sf_dir):
+    return html_extract.extract(_table(spark, sf_dir, "pages"))
+
+
 def op9_bpe(spark, sf_dir):
     return bpe.bpe_report(_table(spark, sf_dir, "documents"))
 
@@ -44,10 +55,17 @@ def op10_secret_scan(spark, sf_dir):
     return secret_scan.secret_report(_table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op2_toxicity, op3_decontamination, op4_simhash, op5_token_counts, op7_quality_rules, op9_bpe, op10_secret_scan,
+        op1_substring_dedup, op2_toxicity, op3_decontamination, op4_simhash, op5_token_counts, op6_license_scan,
+        op7_quality_rules, op8_html_extraction, op9_bpe, op10_secret_scan, pipeline,
     )
 }
 
