@@ -87,10 +87,10 @@ def _blocks(found: DataFrame, most: int):
     """The windows, brought to the driver one bounded block at a time."""
     block = []
     for row in found.toLocalIterator():
-        block.append((tuple(w.encode() for w in row["words"]), row["items"]))
         if len(block) == most:
             yield block
             block = []
+        block.append((tuple(w.encode() for w in row["words"]), row["items"]))
     yield block
 
 
@@ -106,46 +106,48 @@ def search(
     """
     sc = docs.sparkSession.sparkContext
     carry = {id_col: id_col, **(carry or {})}
-    out = None
-    for block in _blocks(windows(benchmark, size), block_windows):
-        tables = sc.broadcast(block)
-
-        def start(tables=tables):
-            by_length: dict[int, dict] = defaultdict(dict)
-            for window, items in tables.value:
-                by_length[len(window)][window] = items
-            searches = [WuManber(w, m) for m, w in sorted(by_length.items())]
-
-            def work(texts):
-                n_words, spans, items = [], [], []
-                for text in texts:
-                    words = words_of(text)
-                    found, who = set(), set()
-                    for s in searches:
-                        for at, payload in s.find(words):
-                            found.add((at, at + s.m))
-                            who.update(payload)
-                    n_words.append(len(words))
-                    spans.append([f"{a}:{b}" for a, b in sorted(found)])
-                    items.append(sorted(who))
-                return {"n_words": n_words, "spans": as_strings(spans), "items": as_strings(items)}
-
-            return work
-
-        before = {} if out is None else {"b_spans": "spans", "b_items": "items"}
-        given = docs if out is None else out
-        keep = {**carry, **before}
-        if out is None:
-            keep["__text"] = text
-        else:
-            keep["__text"] = "__text"
-        out = map_texts(given, "__text" if before else text, "n_words long, spans array<string>, items array<string>", start, keep)
-        carry = {k: k for k in carry}
-        if before:
-            out = out.withColumn("spans", F.concat("b_spans", "spans")).withColumn("items", F.array_union("b_items", "items")).drop("b_spans", "b_items")
+    schema = "n_words long, spans array<string>, items array<string>"
+    blocks = _blocks(windows(benchmark, size), block_windows)
+    block, given, earlier = next(blocks), docs, {}
+    while block is not None:
+        following = next(blocks, None)
+        start = _searcher(sc.broadcast(block))
+        more = {"__text": text} if following is not None else {}
+        out = map_texts(given, text, schema, start, {**carry, **earlier, **more})
+        if earlier:
+            both = {"spans": F.concat("b_spans", "spans"), "items": F.array_union("b_items", "items")}
+            out = out.withColumns(both).drop("b_spans", "b_items")
+        given, text, block = out, "__text", following
+        carry, earlier = {k: k for k in carry}, {"b_spans": "spans", "b_items": "items"}
     return out
 
 
+def _searcher(tables):
+    def start():
+        by_length: dict[int, dict] = defaultdict(dict)
+        for window, items in tables.value:
+            by_length[len(window)][window] = items
+        searches = [WuManber(w, m) for m, w in sorted(by_length.items())]
+
+        def work(texts):
+            n_words, spans, items = [], [], []
+            for text in texts:
+                words = words_of(text)
+                found, who = set(), set()
+                for s in searches:
+                    for at, payload in s.find(words):
+                        found.add((at, at + s.m))
+                        who.update(payload)
+                n_words.append(len(words))
+                spans.append([f"{a}:{b}" for a, b in sorted(found)])
+                items.append(sorted(who))
+            return {"n_words": n_words, "spans": as_strings(spans), "items": as_strings(items)}
+
+        return work
+
+    return start
+
+
 def as_strings(lists):
     import pyarrow as pa
 
@@ -154,7 +156,7 @@ def as_strings(lists):
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = 10, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """The per-document report of op3: counts, the digest of the items, the flag."""
-    found = search(docs, benchmark, id_col, text, size, block_windows=block_windows).drop("__text")
+    found = search(docs, benchmark, id_col, text, size, block_windows=block_windows)
     pair = F.transform("spans", lambda s: F.struct(F.split(s, ":")[0].cast("int").alias("a"), F.split(s, ":")[1].cast("int").alias("b")))
     # a span's words beyond the furthest end so far
     hit = F.aggregate(
@@ -169,7 +171,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return found.select(
         id_col, "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", F.array_sort("items")), 256).alias("items_sha256"),
-        (F.size("spans") > 0).alias("contaminated"), F.concat_ws(",", "spans").alias("hit_spans"),
+        (F.size("spans") > 0).alias("contaminated"), F.array_join(F.transform(F.array_sort(pair), lambda p: F.concat_ws(":", p["a"].cast("string"), p["b"].cast("string"))), ",").alias("hit_spans"),
     )
 
 
