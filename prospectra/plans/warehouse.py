@@ -8,22 +8,11 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions import values as V
 from ..operators import graph, match, merge
-from .fixtures import view, with_views
+from .fixtures import view
+from .registry import Registry
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Register a query, and the SQL that says the same."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = with_views(sql)
-        return f
-
-    return add
+REGISTRY = Registry()
+query = REGISTRY.query
 
 
 def _in(items) -> str:
