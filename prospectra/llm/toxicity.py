@@ -193,9 +193,16 @@ def stream(docs: list[list[bytes]], table: dict[bytes, int]):
     return at, first
 
 
+#: Marginals below this say nothing, however many a long text has.
+FAINT = 0.1
+
+
 def summary(q: np.ndarray) -> tuple[float, float, float]:
     """What a document's score is made of: its largest marginal, how many are expected, whether any is."""
-    return (float(q.max()), float(np.log1p(q.sum())), float(1 - np.exp(np.log1p(-np.minimum(q, 1 - 1e-9)).sum()))) if len(q) else (0.0, 0.0, 0.0)
+    if not len(q):
+        return 0.0, 0.0, 0.0
+    clear = q[q >= FAINT]
+    return float(q.max()), float(np.log1p(clear.sum())), float(1 - np.exp(np.log1p(-np.minimum(clear, 1 - 1e-9)).sum()))
 
 
 class Scorer:
@@ -233,8 +240,12 @@ class Scorer:
         return out
 
 
-def train(docs: list[tuple[bytes | None, int]]) -> Scorer:
-    """Fit chain and layer on labelled texts."""
+def train(docs: list[tuple[bytes | None, int]], odds: float | None = None) -> Scorer:
+    """Fit chain and layer on labelled texts.
+
+    odds: toxic to other among all labelled documents, where the given ones are
+    dealt otherwise; scores are then of a document drawn like the labelled ones.
+    """
     cut = [(tokens(t), int(y)) for t, y in dict.fromkeys(docs)]
     if len({y for _, y in cut}) < 2:
         return Scorer(Chain(), None)
@@ -258,6 +269,8 @@ def train(docs: list[tuple[bytes | None, int]]) -> Scorer:
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         h = (x * (p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(len(w))
         w += np.linalg.solve(h, x.T @ (target - p) - 0.1 * w)
+    if odds:
+        w[0] += np.log(odds * (1 - target).sum() / target.sum())
     return Scorer(chain, w)
 
 
@@ -273,7 +286,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
         picked = part if picked is None else picked.unionByName(part)
     chosen = docs.select(F.col(id_col).alias("__id"), F.col(text).alias("__t")).filter(F.length("__t") <= FIT_CHARS).join(F.broadcast(picked), "__id")
     rows = chosen.select("__id", "__t", "__y").orderBy("__id", "__t").limit(2 * (1 + OTHERS) * fit_docs).collect()
-    return train([(r["__t"].encode(), r["__y"]) for r in rows])
+    found = {r["__y"]: r["count"] for r in marked.filter(F.col("__y").isin(0, 1)).groupBy("__y").count().collect()}
+    odds = found[1] / found[0] if len(found) == 2 else None
+    return train([(r["__t"].encode(), r["__y"]) for r in rows], odds)
 
 
 def held_out(doc_id):
