@@ -25,7 +25,7 @@ from hashlib import sha256
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts
+from .common import map_texts, materialise
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 WORD_SQL = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -33,6 +33,8 @@ UPPER = bytes(range(65, 91))
 LOWER = bytes.maketrans(UPPER, UPPER.lower())
 #: Windows searched at once; their tables take some 200 bytes each.
 BLOCK_WINDOWS = 200_000
+#: After so many blocks the passes so far are written, so that plans stay short.
+BLOCKS_PER_PLAN = 16
 
 
 class WuManber:
@@ -108,7 +110,7 @@ def search(
     carry = {id_col: id_col, **(carry or {})}
     schema = "n_words long, spans array<string>, items array<string>"
     blocks = _blocks(windows(benchmark, size), block_windows)
-    block, given, earlier = next(blocks), docs, {}
+    block, given, earlier, passes = next(blocks), docs, {}, 0
     while block is not None:
         following = next(blocks, None)
         start = _searcher(sc.broadcast(block))
@@ -117,6 +119,9 @@ def search(
         if earlier:
             both = {"spans": F.concat("b_spans", "spans"), "items": F.array_union("b_items", "items")}
             out = out.withColumns(both).drop("b_spans", "b_items")
+        passes += 1
+        if passes % BLOCKS_PER_PLAN == 0:
+            out = materialise(out, "decontaminate")
         given, text, block = out, "__text", following
         carry, earlier = {k: k for k in carry}, {"b_spans": "spans", "b_items": "items"}
     return out

@@ -60,8 +60,8 @@ def fingerprint(text: bytes | None, width: int = WIDTH) -> int:
     return int(np.packbits(bits, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """Each row's id and its fingerprint as a signed 64-bit integer, fp."""
+def fingerprints(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
+    """Each row's columns keep and its fingerprint as a signed 64-bit integer, fp."""
 
     def start():
         def work(texts):
@@ -69,7 +69,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
 
         return work
 
-    return map_texts(docs, text, "fp long", start, {id_col: id_col})
+    return map_texts(docs, text, "fp long", start, {c: c for c in keep})
 
 
 # ---- the trie self-join of one group, in numpy
@@ -262,23 +262,34 @@ def _mark(edges: DataFrame) -> tuple:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", group_most: int = GROUP_MOST) -> DataFrame:
     """Each row's id, its fingerprint in hex, and component_id, the smallest id it reaches."""
-    made = materialise(fingerprints(docs, id_col, text).withColumnRenamed(id_col, "__id"), "simhash-fp")
-    nodes = materialise(made.groupBy("fp").agg(F.min("__id").alias("first")), "simhash-nodes")
+    hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
+    return _classes(docs, id_col, text, group_most).select(F.col("id").alias(id_col), hexed.alias("fingerprint"), "component_id")
+
+
+def _classes(docs: DataFrame, id_col: str, text: str, group_most: int) -> DataFrame:
+    """(id, digest of the text, fp, component_id) of each row."""
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("digest"), F.col(text).alias("t"))
+    made = materialise(fingerprints(rows, ["id", "digest"], "t"), "simhash-fp")
+    nodes = materialise(made.groupBy("fp").agg(F.min("id").alias("first")), "simhash-nodes")
     roots = materialise(components(links(nodes, group_most)), "simhash-roots")
     linked = nodes.join(roots, nodes["fp"] == roots["node"]).select("fp", "first", "root")
     of_root = linked.groupBy("root").agg(F.min("first").alias("component_id"))
     alone = nodes.join(roots, nodes["fp"] == roots["node"], "left_anti").select("fp", F.col("first").alias("component_id"))
     classes = materialise(linked.join(of_root, "root").select("fp", "component_id").unionByName(alone), "simhash-classes")
-    hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return made.join(classes, "fp").select(F.col("__id").alias(id_col), hexed.alias("fingerprint"), "component_id")
+    return made.join(classes, "fp")
 
 
-def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without the rows whose id isn't their component's; one row of those that share an id and a component.
+def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text", group_most: int = GROUP_MOST) -> DataFrame:
+    """docs without the rows whose id isn't their component's; of rows that share that id too, one stays.
 
-    Rows without an id are kept, as no copy of them can be named.
+    Rows without an id are kept, as no copy of them can be named.  A row is
+    told from others of its id by a digest of its text.
     """
-    found = near_duplicates(docs, id_col, text)
-    drop = materialise(found.filter(F.col(id_col) != F.col("component_id")).select(id_col).distinct(), "simhash-drop")
-    kept = docs.join(drop, id_col, "left_anti").select(*docs.columns)
-    return kept
+    found = materialise(_classes(docs, id_col, text, group_most).select("id", "digest", "component_id"), "simhash-found")
+    drop = materialise(found.filter("id <> component_id").select("id", "digest").distinct(), "simhash-drop")
+    kept = docs.join(drop, (docs[id_col] == drop["id"]) & (F.xxhash64(docs[text]) == drop["digest"]), "left_anti")
+    twice = materialise(found.filter("id = component_id").groupBy("id").count().filter("count > 1").select("id"), "simhash-twice")
+    if twice.isEmpty():
+        return kept
+    again = kept.join(twice, kept[id_col] == twice["id"], "left_semi").dropDuplicates([id_col])
+    return kept.join(twice, kept[id_col] == twice["id"], "left_anti").unionByName(again)
