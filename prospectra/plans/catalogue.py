@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import diagnostics, warehouse
+from . import diagnostics, presence, queues, warehouse
 from .registry import Query
 
-MODULES = [warehouse, diagnostics]
+MODULES = [warehouse, diagnostics, presence, queues]
 
 
 def queries() -> dict[str, Query]:

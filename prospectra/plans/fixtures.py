@@ -105,8 +105,10 @@ def ctes(*names: str) -> str:
 def with_views(sql: str) -> str:
     """An oracle query with the fixtures that it names put before it."""
     used = [n for n in VIEWS if re.search(rf"\b(?:FROM|JOIN)\s+{n}\b|,\s*{n}\b(?!\s*\.)", sql)]
-    head = ctes(*used)
     body = sql.strip()
+    if not used:
+        return body
+    head = ctes(*used)
     if body.upper().startswith("WITH RECURSIVE"):
         return "WITH RECURSIVE " + head[5:] + ",\n" + body[14:]
-    return head + (",\n" + body[5:] if body.upper().startswith("WITH ") else "\n" + body) if used else body
+    return head + (",\n" + body[5:] if body.upper().startswith("WITH ") else "\n" + body)
