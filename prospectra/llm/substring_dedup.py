@@ -112,7 +112,7 @@ def units(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFr
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(rank, start, stop, first): every occurrence but a unit's earliest, and the rank of that one."""
-    found = units(docs, id_col, text)
+    found = materialise(units(docs, id_col, text), "units")  # read twice, hashed once
     groups = found.groupBy("hi", "lo").agg(F.count("*").alias("n"), F.min(F.struct("rank", "start")).alias("f")).filter("n > 1")
     groups = materialise(groups.select("hi", "lo", F.col("f.rank").alias("first"), F.col("f.start").alias("first_start")), "repeats")
     later = found.join(groups, ["hi", "lo"]).filter("rank <> first or start <> first_start")
