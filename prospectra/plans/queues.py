@@ -156,7 +156,7 @@ def stuck_work_report(spark, sf_dir):
     e = view(spark, sf_dir, "request_events").withColumn("processed_at", F.col("processed_at").cast("timestamp"))
     last = e.groupBy("request_id").agg(F.max("processed_at").alias("at"), F.max_by("kind", F.struct("processed_at", "event_id")).alias("kind"))
     now = e.agg(F.max("processed_at").alias("t"))  # one row
-    quiet = F.unix_timestamp("t") - F.unix_timestamp("at")
+    quiet = F.round((F.unix_micros("t") - F.unix_micros("at")) / 1e6).cast("long")
     why = F.when(F.col("kind") == "ticket_opened", "changes").when(F.col("kind") == "payment_failed", "failed").otherwise("stalled")
     late = last.crossJoin(now).filter((F.col("kind") != "paid") & (F.col("at") < F.col("t") - F.expr("INTERVAL 24 HOURS")))
     return late.select("request_id", "kind", quiet.alias("quiet_s"), why.alias("reason"))
