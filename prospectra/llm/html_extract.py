@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 
 from .common import map_texts
 
-#: Pages that the labeller is trained on, at most, and the most blocks of one.
-FIT_PAGES, FIT_BLOCKS = 240, 60
+#: Pages that the labeller is trained on, at most, the most blocks of one, and a length in characters that they stay under.
+FIT_PAGES, FIT_BLOCKS, FIT_CHARS = 240, 60, 50_000
 PATH, WORDS, HIDDEN = 64, 32, 16
 INPUT = PATH + WORDS + 6
 STEPS, BATCH, RATE = 140, 24, 0.02
@@ -308,9 +308,15 @@ def train(pages: list[str], seed: int = 5) -> BiLstm:
 
 
 def fit(pages: DataFrame, page_id: str = "page_id", page: str = "html", most: int = FIT_PAGES) -> BiLstm:
-    """Train on at most ``most`` pages, those with the smallest hash of their id."""
-    some = pages.filter(F.col(page).isNotNull() & (F.length(page) < 50_000))
-    rows = some.select(F.xxhash64(page_id).alias("h"), F.col(page).alias("p")).orderBy("h", "p").limit(most).collect()
+    """Train on at most ``most`` pages, those with the smallest hash of their id.
+
+    Ids are chosen first, four times as many as some pages are null or too
+    long, and only chosen pages are read out, so what the driver gets has the
+    same bound at every size.
+    """
+    ids = pages.select(F.xxhash64(page_id).alias("h")).distinct().orderBy("h").limit(4 * most)
+    some = pages.filter(F.col(page).isNotNull() & (F.length(page) < FIT_CHARS)).select(F.xxhash64(page_id).alias("h"), F.col(page).alias("p"))
+    rows = some.join(F.broadcast(ids), "h").orderBy("h", "p").limit(most).collect()
     return train([r["p"] for r in rows])
 
 
