@@ -23,8 +23,12 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays, the one with the smallest doc_id."""
-    return simhash.keep_one_each(docs).select(*COLUMNS)
+    """One document of each near-duplicate group stays, the one with the smallest doc_id.
+
+    Near duplicates have a Jaccard similarity of 0.8 or more in their runs of
+    five words; all such pairs are found (see similar).
+    """
+    return simhash.keep_one_each(docs, similarity=0.8, width=5).select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -37,11 +37,11 @@ GROUP_MOST = 2048
 LEVELS = 3
 
 
-def fingerprint(text: bytes | None, width: int = WIDTH) -> int:
-    """The 64-bit fingerprint of a UTF-8 text."""
+def shingle_hashes(text: bytes | None, width: int = WIDTH) -> np.ndarray:
+    """The 64-bit hashes of a UTF-8 text's runs of width words, in order; a shorter text is one run, an empty one none."""
     words = WORD.findall(text.translate(LOWER)) if text else []
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     hashed = xxhash.xxh64_intdigest
     if len(words) < width:
         shingles = [b" ".join(words)]
@@ -51,7 +51,14 @@ def fingerprint(text: bytes | None, width: int = WIDTH) -> int:
         for w in words:
             starts.append(starts[-1] + len(w) + 1)
         shingles = [line[a : b - 1] for a, b in zip(starts, starts[width:])]
-    hashes = np.array([hashed(s, SEED) for s in shingles], np.uint64)
+    return np.array([hashed(s, SEED) for s in shingles], np.uint64)
+
+
+def fingerprint(text: bytes | None, width: int = WIDTH) -> int:
+    """The 64-bit fingerprint of a UTF-8 text."""
+    hashes = shingle_hashes(text, width)
+    if not len(hashes):
+        return 0
     count = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 65536):
         part = hashes[at : at + 65536].astype("<u8").view(np.uint8).reshape(-1, 8)
@@ -279,13 +286,23 @@ def _classes(docs: DataFrame, id_col: str, text: str, group_most: int) -> DataFr
     return made.join(classes, "fp")
 
 
-def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text", group_most: int = GROUP_MOST) -> DataFrame:
+def keep_one_each(
+    docs: DataFrame, id_col: str = "doc_id", text: str = "text", group_most: int = GROUP_MOST, similarity: float | None = None, width: int = WIDTH
+) -> DataFrame:
     """docs without the rows whose id isn't their component's; of rows that share that id too, one stays.
 
+    With a similarity, texts are linked by the exact Jaccard similarity of
+    their runs of width words (see similar) instead of by fingerprints.
     Rows without an id are kept, as no copy of them can be named.  A row is
     told from others of its id by a digest of its text.
     """
-    found = materialise(_classes(docs, id_col, text, group_most).select("id", "digest", "component_id"), "simhash-found")
+    if similarity is None:
+        found = _classes(docs, id_col, text, group_most)
+    else:
+        from .similar import classes
+
+        found = classes(docs, id_col, text, width, similarity)
+    found = materialise(found.select("id", "digest", "component_id"), "simhash-found")
     drop = materialise(found.filter("id <> component_id").select("id", "digest").distinct(), "simhash-drop")
     kept = docs.join(drop, (docs[id_col] == drop["id"]) & (F.xxhash64(docs[text]) == drop["digest"]), "left_anti")
     twice = materialise(found.filter("id = component_id").groupBy("id").count().filter("count > 1").select("id"), "simhash-twice")
