@@ -25,6 +25,13 @@ from pyspark.sql import DataFrame
 
 from .common import map_texts
 
+#: A key from its BEGIN through its END line; without an END, through the armour headers and base64 that follow: whole
+#: lines (ended by a line feed or an escaped one) of any length, or runs of 20 characters and more.
+PRIVATE_KEY = (
+    r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----"
+    r"(?:(?:[^-]|-(?!----(?:BEGIN|END) ))*+-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----"
+    r"""|(?:(?:[\s>"',]|\\[nr])++(?:[A-Za-z][A-Za-z0-9-]*:\x20[^\n\\]*+(?=\n|\\n)|[A-Za-z0-9+/]{20,}+=*+|(?<=[\n>\x20\tnr])[A-Za-z0-9+/]++=*+(?=[\x20\t\r"',]*+(?:\n|\\[nr]|\Z))))*+)"""
+)
 #: kind, pattern, the group whose length counts, its least length. The first three are the base rules, in their order.
 RULES = [
     ("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
@@ -34,8 +41,8 @@ RULES = [
     ("chat", r"xox[abprs]-[A-Za-z0-9-]{10,}", 0, 15),
     ("map_key", r"AIza[0-9A-Za-z_-]{35}", 0, 39),
     ("web_token", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}", 0, 30),
-    ("private_key", r"-----BEGIN (?:RSA |EC |DSA |OPENSSH |PGP )?PRIVATE KEY(?: BLOCK)?-----", 0, 1),
-    ("url_login", r"[a-z][a-z0-9+.-]*://[^\s/:@]{1,64}:[^\s/:@]{3,64}@[A-Za-z0-9.-]+", 0, 1),
+    ("private_key", PRIVATE_KEY, 0, 1),
+    ("url_login", r"[a-z][a-z0-9+.-]*://[^\s/:@]+:[^\s/:@]{3,}@[A-Za-z0-9.-]+", 0, 1),
 ]
 BASE = ("assign", "access", "hex")
 #: Sets of strings larger than this are given up for what they contain.
