@@ -43,6 +43,8 @@ NAMES = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style noscript template svg iframe object canvas math".split())
+#: Those whose content isn't markup: whatever it holds, it ends at the first end tag of the name.
+RAW_END = {n: re.compile(rf"</{n}(?=[\s/>]|\Z)[^>]*>?", re.I) for n in ("script", "style", "noscript", "iframe")}
 #: Elements that an opening tag of the same kind closes first.
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 #: What names a block's role, for labels of real pages.
@@ -73,7 +75,7 @@ def blocks(page: str) -> list[Block]:
                 out.append(Block(path, text, links))
         parts, links = [], 0
 
-    for m in TOKEN.finditer(page):
+    while m := TOKEN.search(page, at):
         if m.start() > at and not skip:
             piece = page[at : m.start()]
             parts.append(piece)
@@ -82,6 +84,13 @@ def blocks(page: str) -> list[Block]:
         name = (m[2] or "").lower()
         if not name:
             continue
+        if name in RAW_END and not m[1] and not m[3].endswith("/"):
+            end = RAW_END[name].search(page, at)
+            at = end.end() if end else len(page)
+            if not skip:
+                flush()
+                in_link = 0
+            continue
         if skip:
             if m[1] and name == skip:
                 skip = ""
