@@ -23,7 +23,7 @@ import re
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import forget, map_texts, materialise
@@ -274,22 +274,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
 
 def _classes(docs: DataFrame, id_col: str, text: str, group_most: int) -> DataFrame:
-    """(id, digest of the text, fp, component_id) of each row."""
+    """(id, digest of the text, fp, root, component_id) of each row."""
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("digest"), F.col(text).alias("t"))
     made = materialise(fingerprints(rows, ["id", "digest"], "t"), "simhash-fp")
     nodes = materialise(made.groupBy("fp").agg(F.min("id").alias("first")), "simhash-nodes")
     roots = materialise(components(links(nodes, group_most)), "simhash-roots")
     linked = nodes.join(roots, nodes["fp"] == roots["node"]).select("fp", "first", "root")
     of_root = linked.groupBy("root").agg(F.min("first").alias("component_id"))
-    alone = nodes.join(roots, nodes["fp"] == roots["node"], "left_anti").select("fp", F.col("first").alias("component_id"))
-    classes = materialise(linked.join(of_root, "root").select("fp", "component_id").unionByName(alone), "simhash-classes")
+    alone = nodes.join(roots, nodes["fp"] == roots["node"], "left_anti").select("fp", F.col("fp").alias("root"), F.col("first").alias("component_id"))
+    classes = materialise(linked.join(of_root, "root").select("fp", "root", "component_id").unionByName(alone), "simhash-classes")
     return made.join(classes, "fp")
 
 
 def keep_one_each(
     docs: DataFrame, id_col: str = "doc_id", text: str = "text", group_most: int = GROUP_MOST, similarity: float | None = None, width: int = WIDTH
 ) -> DataFrame:
-    """docs without the rows whose id isn't their component's; of rows that share that id too, one stays.
+    """docs without the rows whose id isn't their component's; of a component's rows that share that id too, the first by text and other columns stays.
 
     With a similarity, texts are linked by the exact Jaccard similarity of
     their runs of width words (see similar) instead of by fingerprints.
@@ -302,11 +302,14 @@ def keep_one_each(
         from .similar import classes
 
         found = classes(docs, id_col, text, width, similarity)
-    found = materialise(found.select("id", "digest", "component_id"), "simhash-found")
+    found = materialise(found.select("id", "digest", "root", "component_id"), "simhash-found")
     drop = materialise(found.filter("id <> component_id").select("id", "digest").distinct(), "simhash-drop")
     kept = docs.join(drop, (docs[id_col] == drop["id"]) & (F.xxhash64(docs[text]) == drop["digest"]), "left_anti")
-    twice = materialise(found.filter("id = component_id").groupBy("id").count().filter("count > 1").select("id"), "simhash-twice")
+    twice = materialise(found.filter("id = component_id").groupBy("id", "root").count().filter("count > 1").select("id").distinct(), "simhash-twice")
     if twice.isEmpty():
         return kept
-    again = kept.join(twice, kept[id_col] == twice["id"], "left_semi").dropDuplicates([id_col])
+    roots = found.join(twice, "id", "left_semi").select(F.col("id").alias("__id"), F.col("digest").alias("__digest"), F.col("root").alias("__root")).distinct()
+    order = Window.partitionBy("__id", "__root").orderBy(text, F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns])))
+    again = kept.join(roots, (kept[id_col] == roots["__id"]) & (F.xxhash64(kept[text]) == roots["__digest"]))
+    again = again.withColumn("__n", F.row_number().over(order)).filter("__n = 1").select(*[f"`{c}`" for c in docs.columns])
     return kept.join(twice, kept[id_col] == twice["id"], "left_anti").unionByName(again)
