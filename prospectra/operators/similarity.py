@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as X
 from ..functions import values as V
 
 
@@ -65,12 +66,24 @@ def meaningful(left: Column, right: Column) -> Column:
     return F.coalesce(F.arrays_overlap(a, b), F.lit(False)) | held
 
 
+def postcode_root(c) -> Column:
+    """Letters and digits in upper case; the first five if they are digits."""
+    x = F.upper(F.regexp_replace(F.coalesce(F.col(c), F.lit("")), "[^A-Za-z0-9]", ""))
+    return F.when(x.rlike("^[0-9]{5}"), F.substring(x, 1, 5)).otherwise(x)
+
+
 def score_candidates(pairs: DataFrame) -> DataFrame:
-    """pairs (entity_id, name, postcode, city, region, candidate_id, c_name, address) with score and meaningful."""
-    made = pairs.withColumns({"a": business_name(fold("name")), "b": business_name(fold("c_name")), "at": fold("address"), "ci": fold("city"), "re": fold("region")})
-    root = F.regexp_extract("postcode", "^([0-9]{5})", 1)
-    there = lambda c: (F.col(c) != "") & F.contains(F.col("at"), F.col(c))
-    zip_ = (root != "") & F.contains(F.col("address"), root)
+    """pairs with score and meaningful.
+
+    Columns: entity_id, name, postcode, city, region, latitude, longitude and candidate_id, c_name, address,
+    c_postcode, c_city, c_region, c_latitude, c_longitude.  Place evidence is the better of address and distance.
+    """
+    plain = {"at": "address", "ci": "city", "re": "region", "c_ci": "c_city", "c_re": "c_region"}
+    made = pairs.withColumns({"a": business_name(fold("name")), "b": business_name(fold("c_name")), **{k: fold(c) for k, c in plain.items()}})
+    root = postcode_root("postcode")
+    there = lambda c: (F.col(c) != "") & ((F.col(c) == F.col("c_" + c)) | F.contains(F.col("at"), F.col(c)))
+    zip_ = (root != "") & (root == postcode_root("c_postcode"))
     address = F.least(F.lit(1.0), F.when(zip_, 0.45).otherwise(0.0) + F.when(there("ci"), 0.35).otherwise(0.0) + F.when(there("re"), 0.20).otherwise(0.0))
-    score = F.least(F.lit(1.0), 0.85 * name_similarity(F.col("a"), F.col("b")) + 0.15 * address)
+    place = F.greatest(address, X.geo_band(X.haversine_m("latitude", "longitude", "c_latitude", "c_longitude")))
+    score = F.least(F.lit(1.0), 0.85 * name_similarity(F.col("a"), F.col("b")) + 0.15 * place)
     return made.select("entity_id", "candidate_id", score.alias("score"), meaningful(F.col("a"), F.col("b")).alias("meaningful"))

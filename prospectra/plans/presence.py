@@ -125,15 +125,17 @@ def clean_addresses(spark, sf_dir):
 # ---- fuzzy matches of captured candidates
 
 
-def decide(scored: DataFrame, threshold: float = V.MATCH_THRESHOLD) -> DataFrame:
-    """The best candidate of each record (the earliest of ties), whether it matches, and why."""
+def decide(records: DataFrame, scored: DataFrame, threshold: float = V.MATCH_THRESHOLD) -> DataFrame:
+    """For every entity_id of records the best candidate (the earliest of ties), whether it matches, and why."""
     best = scored.groupBy("entity_id").agg(F.min_by(F.struct("candidate_id", "score", "meaningful"), F.struct(-F.col("score"), "candidate_id")).alias("b"))
-    ok = (F.col("b.score") >= threshold) & F.col("b.meaningful")
+    best = records.select("entity_id").join(best, "entity_id", "left")
+    over = F.col("b.score") >= threshold
     why = (
-        F.when(F.col("b").isNull(), "search_returned_no_candidates").when(~F.col("b.meaningful"), "no_meaningful_name_agreement")
-        .when(ok, "binary_score_at_or_above_threshold").otherwise("binary_score_below_threshold")
+        F.when(F.col("b").isNull(), "search_returned_no_candidates").when(~over, "binary_score_below_threshold")
+        .when(~F.col("b.meaningful"), "no_meaningful_name_agreement").otherwise("binary_score_at_or_above_threshold")
     )
-    return best.select("entity_id", "b.candidate_id", F.round("b.score", 6).alias("score"), ok.alias("matched"), why.alias("reason"))
+    matched = F.coalesce(over & F.col("b.meaningful"), F.lit(False))
+    return best.select("entity_id", "b.candidate_id", F.round("b.score", 6).alias("score"), matched.alias("matched"), why.alias("reason"))
 
 
 @query()
@@ -141,7 +143,7 @@ def fuzzy_match_decision(spark, sf_dir):
     """Leads against captured candidates of the same number; names are compared in Arrow batches."""
     k = F.col("c_custkey")
     c = spark.read.parquet(f"{sf_dir}/customer.parquet")
-    ent = c.select(k.alias("entity_id"), F.concat(F.lit("Blue Río Bakery "), (k % 50).cast("string"), F.lit(" LLC")).alias("name"), F.lit("78382-1000").alias("postcode"), F.lit("Rockport").alias("city"), F.lit("TX").alias("region"))
+    ent = c.select(k.alias("entity_id"), F.concat(F.lit("Blue Río Bakery "), (k % 50).cast("string"), F.lit(" LLC")).alias("name"), F.lit("78382-1000").alias("postcode"), F.lit("Rockport").alias("city"), F.lit("TX").alias("region"), F.lit(28.0).alias("latitude"), F.lit(-97.0).alias("longitude"))
     name = F.when(k % 4 == 0, "Rio Blue Bakery & Co").when(k % 4 == 1, F.concat(F.lit("Blue Rio Bakery "), (k % 50).cast("string"))).when(k % 4 == 2, "Harbor Tire Shop").otherwise("The Shop")
-    cand = c.select(k.alias("entity_id"), (k * 10).alias("candidate_id"), name.alias("c_name"), F.lit("12 Elm St, Rockport, TX 78382").alias("address"))
-    return decide(similarity.score_candidates(ent.join(cand, "entity_id")))
+    cand = c.select(k.alias("entity_id"), (k * 10).alias("candidate_id"), name.alias("c_name"), F.lit("12 Elm St, Rockport, TX 78382").alias("address"), F.lit("78382").alias("c_postcode"), F.lit("Rockport").alias("c_city"), F.lit("TX").alias("c_region"), F.lit(28.001).alias("c_latitude"), F.lit(-97.0).alias("c_longitude"))
+    return decide(ent, similarity.score_candidates(ent.join(cand, "entity_id")))
