@@ -2,27 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or our own if unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="prospectra-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df by way of a table in the shared folder: its lineage is cut, and a lost executor costs nothing."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from .scratch import forget, written
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -37,10 +20,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         both = star.unionByName(star.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = written(both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
-        least = written(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        nearest = written(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         pairs = F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
-        star = written(large.join(least, "u").select(F.inline(pairs)).filter("u <> v").distinct(), "star")
-        was, mark = mark, _mark(star)
+        small = written(large.join(nearest, "u").select(F.inline(pairs)).filter("u <> v").distinct(), "star")
+        was, mark = mark, _mark(small)
+        forget(star, least, large, nearest)
+        star = small
         if mark == was:
             break
     roots = star.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
