@@ -2,47 +2,28 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
-#: Rows in one Arrow batch handed to Python: texts can be long, so few rows.
-BATCH_ROWS = 256
+from ..operators.scratch import clear, forget, shared_dir  # noqa: F401
+from ..operators.scratch import written as materialise  # noqa: F401
 
+#: Rows, and bytes of text, that a function gets at once; a longer text comes alone.
+SLICE_ROWS, SLICE_BYTES = 512, 4 << 20
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or our own if unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="prospectra-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
 
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back, which cuts its lineage.
-
-    The copy is an ordinary replicated-by-the-store table, so a lost executor
-    costs nothing; joins on it shuffle both sides, which lets adaptive
-    execution split a hot key.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def forget(df: DataFrame) -> None:
-    """Delete the files of a DataFrame that materialise() returned."""
-    spark = df.sparkSession
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for file in df.inputFiles():
-        path = jvm.org.apache.hadoop.fs.Path(file).getParent()
-        path.getFileSystem(conf).delete(path, True)
-        return
+def slices(column: pa.Array) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of bounded numbers and bytes, in order."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at, done = 0, 0
+    while at < len(size):
+        to = max(at + 1, min(at + SLICE_ROWS, int(np.searchsorted(size, done + SLICE_BYTES, side="right"))))
+        yield at, to
+        at, done = to, int(size[to - 1])
 
 
 def map_texts(
@@ -62,8 +43,6 @@ def map_texts(
     that each of its rows belongs to, so a row may give none or many.
     """
     keep = keep or {}
-    spark = df.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     cols = [df[c].alias(f"k{i}") for i, c in enumerate(keep.values())]
     given = df.select(*cols, df[text].alias("t"))
     fields = [f"`{n}` {given.schema[f'k{i}'].dataType.simpleString()}" for i, n in enumerate(keep)]
@@ -72,14 +51,15 @@ def map_texts(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = start()
-        for batch in batches:
-            texts = batch.column(len(names)).cast(pa.binary()).to_pylist()
-            made = work(texts)
-            kept = [batch.column(i) for i in range(len(names))]
-            if expand:
-                rows = pa.array(made.pop(""), pa.int64())
-                kept = [k.take(rows) for k in kept]
-            arrays = [v if isinstance(v, pa.Array) else pa.array(v) for v in made.values()]
-            yield pa.RecordBatch.from_arrays([*kept, *arrays], names=[*names, *made])
+        for whole in batches:
+            column = whole.column(len(names)).cast(pa.binary())
+            for a, b in slices(column):
+                made = work(column[a:b].to_pylist())
+                kept = [whole.column(i)[a:b] for i in range(len(names))]
+                if expand:
+                    rows = pa.array(made.pop(""), pa.int64())
+                    kept = [k.take(rows) for k in kept]
+                arrays = [v if isinstance(v, pa.Array) else pa.array(v) for v in made.values()]
+                yield pa.RecordBatch.from_arrays([*kept, *arrays], names=[*names, *made])
 
     return given.mapInArrow(run, out_schema)

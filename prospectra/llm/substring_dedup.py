@@ -7,38 +7,48 @@ begin inside a line, so line hashes alone would miss them; windows are
 anchored by content instead: one starts at each word whose hash is the
 smallest of some ANCHOR_SPAN neighbouring words.  Any repeated run of
 PASSAGE + ANCHOR_SPAN - 1 (48) words or more thus shares a window wherever it
-stands, and nothing shorter than a window is ever removed by one.
+stands.  Windows are only seeds: a later occurrence is compared with the words
+around the first one and grows, word by word, to the ends of the equal run,
+which lie less than ANCHOR_SPAN words beyond the outermost windows.
 
 Digests are grouped globally with a map-side minimum, so a unit that occurs in
 a third of all documents costs one row per task; the earliest occurrence by
-(doc_id, offset) is kept and the others are removed, with their offsets in the
-original text.  Occurrences meet their group in a join of which both sides are
-shuffled anew, so that adaptive execution can split a hot unit.
-
-Results for special cases: null and empty texts have no units and are kept as
-they are; rows without an id rank last and share the last rank; rows with the
-same id rank alike, so a unit at the same offset of both stays in both; a unit
-repeated inside one text stays at its first place; offsets are code points,
-end exclusive.
+(id, text digest, offset) is kept and the others are removed, with their
+offsets in the original text.  Occurrences meet their group in a join of which
+both sides are shuffled anew, so that adaptive execution can split a hot unit.
+Texts are shuffled twice, compressed: once to read the words around first
+occurrences, once to cut.
+
+A row is known by its id and a digest of its text.  Results for special cases:
+null and empty texts have no units and are kept as they are; rows without an
+id come after all others, in the order of their digests, and are told apart by
+them, as are rows that share an id; ids may be of any type that has an order;
+rows equal in id and text are the same document and get the same result (their
+common units stay, unless an earlier document holds them); a unit repeated
+inside one text stays at its first place; offsets are code points, end
+exclusive.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, materialise
+from .common import forget, map_texts, materialise, slices
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+WORD_STR = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
+LOWER_STR = {i: i + 32 for i in range(65, 91)}
 LINE_WORDS, PASSAGE, ANCHOR_SPAN = 5, 25, 24
-LAST = (1 << 63) - 1
 
 
 def anchors(hashes: np.ndarray, span: int = ANCHOR_SPAN) -> np.ndarray:
@@ -53,7 +63,7 @@ def anchors(hashes: np.ndarray, span: int = ANCHOR_SPAN) -> np.ndarray:
 
 
 def text_units(text: bytes, line_words: int = LINE_WORDS, passage: int = PASSAGE, span: int = ANCHOR_SPAN):
-    """(digest, start, end) of a text's units; offsets in bytes."""
+    """(digest, start, end) of a text's units; offsets in bytes.  Digests of windows are odd, the others even."""
     low = text.translate(LOWER)
     at = np.array([m.span() for m in WORD.finditer(low)], np.int64).reshape(-1, 2)
     if not len(at):
@@ -63,32 +73,40 @@ def text_units(text: bytes, line_words: int = LINE_WORDS, passage: int = PASSAGE
     size = at[:, 1] - at[:, 0]
     begin = np.concatenate(([0], np.cumsum(size + 1)))
     digest = xxhash.xxh3_128_intdigest
-    out = [(digest(line), int(at[0, 0]), int(at[-1, 1]))]
+    out = [(digest(line) & ~1, int(at[0, 0]), int(at[-1, 1]))]
     # lines: runs of words without a line feed between them
     breaks = np.flatnonzero(np.frombuffer(text, np.uint8) == 10)
     starts = np.unique(np.concatenate(([0], np.searchsorted(at[:, 0], breaks))))
     starts = starts[starts < len(at)]
     for i, j in zip(starts.tolist(), [*starts[1:].tolist(), len(at)]):
         if j - i >= line_words and (i or j < len(at)):
-            out.append((digest(line[begin[i] : begin[j] - 1]), int(at[i, 0]), int(at[j - 1, 1])))
+            out.append((digest(line[begin[i] : begin[j] - 1]) & ~1, int(at[i, 0]), int(at[j - 1, 1])))
     if len(at) > passage:
         for i in anchors(np.fromiter(map(crc32, words), np.int64, len(words)), span).tolist():
             j = i + passage
             if j <= len(at):
-                out.append((digest(line[begin[i] : begin[j] - 1]), int(at[i, 0]), int(at[j - 1, 1])))
+                out.append((digest(line[begin[i] : begin[j] - 1]) | 1, int(at[i, 0]), int(at[j - 1, 1])))
     return out
 
 
+def rows_of(docs: DataFrame, id_col: str, text: str) -> DataFrame:
+    """(id, row, t): row is a digest of the text, which tells rows of one id apart."""
+    return docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("row"), F.col(text).alias("t"))
+
+
 def units(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(rank, hi, lo, start, stop): every unit of every text, offsets in code points."""
+    """(id, row, hi, lo, start, stop, packed): every unit of every text, offsets in code points.
+
+    Each text also gives one row of its own, which has the compressed text and no unit.
+    """
 
     def start():
+        pack = zstandard.ZstdCompressor(level=1).compress
+
         def work(texts):
             rows, hi, lo, a, b = [], [], [], [], []
             for k, t in enumerate(texts):
-                if not t:
-                    continue
-                found = text_units(t)
+                found = text_units(t) if t else []
                 if not found:
                     continue
                 places = np.array([f[1:] for f in found], np.int64)
@@ -100,53 +118,206 @@ def units(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFr
                 lo += [f[0] & 0xFFFFFFFFFFFFFFFF for f in found]
                 a.append(places[:, 0])
                 b.append(places[:, 1])
-            flat = lambda x: np.concatenate(x) if x else np.empty(0, np.int64)
-            signed = lambda x: np.array(x, np.uint64).view(np.int64)
-            return {"": rows, "hi": signed(hi), "lo": signed(lo), "start": pa.array(flat(a), pa.int32(), safe=False), "stop": pa.array(flat(b), pa.int32(), safe=False)}
+            n = len(texts)
+            none = lambda kind: pa.nulls(n, kind)
+            flat = lambda x: pa.array(np.concatenate(x) if x else np.empty(0, np.int64), pa.int32(), safe=False)
+            signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
+            both = lambda x, kind: pa.concat_arrays([x, none(kind)])
+            packed = pa.concat_arrays([pa.nulls(len(rows), pa.binary()), pa.array([None if t is None else pack(t) for t in texts], pa.binary())])
+            return {
+                "": rows + list(range(n)), "hi": both(signed(hi), pa.int64()), "lo": both(signed(lo), pa.int64()),
+                "start": both(flat(a), pa.int32()), "stop": both(flat(b), pa.int32()), "packed": packed,
+            }
 
         return work
 
-    made = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("rank"), F.col(text).alias("t"))
-    return map_texts(made, "t", "hi long, lo long, start int, stop int", start, {"rank": "rank"}, expand=True)
+    return map_texts(rows_of(docs, id_col, text), "t", "hi long, lo long, start int, stop int, packed binary", start, {"id": "id", "row": "row"}, expand=True)
+
+
+def repeats(found: DataFrame) -> DataFrame:
+    """(id, row, start, stop, passage, fid, frow, fstart, fstop): every occurrence but a unit's earliest, and that one."""
+    found = found.filter("hi IS NOT NULL").select("id", "row", "hi", "lo", "start", "stop")
+    order = F.struct(F.col("id").isNull().alias("z"), "id", "row", "start", "stop")
+    groups = found.groupBy("hi", "lo").agg(F.count("*").alias("n"), F.min(order).alias("f")).filter("n > 1")
+    groups = materialise(groups.select("hi", "lo", *[F.col(f"f.{c}").alias("f" + c) for c in ("id", "row", "start", "stop")]), "dedup-groups")
+    later = found.join(groups, ["hi", "lo"]).filter(~(F.col("id").eqNullSafe(F.col("fid")) & (F.col("row") == F.col("frow")) & (F.col("start") == F.col("fstart"))))
+    made = materialise(later.select("id", "row", "start", "stop", (F.col("lo").bitwiseAND(F.lit(1)) == 1).alias("passage"), "fid", "frow", "fstart", "fstop"), "dedup-later")
+    forget(groups)
+    return made
+
+
+def joined_runs(spans: list[tuple]) -> list[list]:
+    """Sorted (frow, fstart, start, stop, fstop) of windows of one text, with those that continue each other made one."""
+    out: list[list] = []
+    for s in spans:
+        last = out[-1] if out else None
+        if last and last[0] == s[0] and s[2] <= last[3] and s[2] >= last[2] and last[1] <= s[1] <= last[4] and s[3] >= last[3] and s[4] >= last[4]:
+            last[3], last[4] = s[3], s[4]
+        else:
+            out.append(list(s))
+    return out
+
+
+def reduced(spans: list[dict]) -> list[dict]:
+    """A text's repeats without the windows inside repeated lines, and with neighbouring windows of one first text joined."""
+    lines = sorted((s["start"], s["stop"]) for s in spans if not s["passage"])
+    merged: list[list[int]] = []
+    for a, b in lines:
+        if merged and a <= merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], b)
+        else:
+            merged.append([a, b])
+    starts = [m[0] for m in merged]
+    inside = lambda s: (k := bisect_right(starts, s["start"])) and s["stop"] <= merged[k - 1][1]
+    out = {(s["start"], s["stop"], s["frow"]): s for s in spans if not s["passage"]}
+    by_first: dict = {}
+    for s in spans:
+        if s["passage"] and not inside(s):
+            by_first.setdefault((s["fid"], s["frow"]), []).append((s["frow"], s["fstart"], s["start"], s["stop"], s["fstop"]))
+    kept = list(out.values())
+    for (fid, frow), windows in by_first.items():
+        for _, fa, a, b, fb in joined_runs(sorted(set(windows), key=lambda w: (w[2], w[1]))):
+            kept.append({"passage": True, "fid": fid, "frow": frow, "fstart": fa, "start": a, "stop": b, "fstop": fb})
+    return kept
+
 
+def _rows(df: DataFrame, column: str, schema: str, work) -> DataFrame:
+    """df's rows, with work(the list of dicts in a column) as rows of schema in their place."""
+    kind = df.select("id").schema[0].dataType.simpleString()
 
-def repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(rank, start, stop, first): every occurrence but a unit's earliest, and the rank of that one."""
-    found = materialise(units(docs, id_col, text), "units")  # read twice, hashed once
-    groups = found.groupBy("hi", "lo").agg(F.count("*").alias("n"), F.min(F.struct("rank", "start")).alias("f")).filter("n > 1")
-    groups = materialise(groups.select("hi", "lo", F.col("f.rank").alias("first"), F.col("f.start").alias("first_start")), "repeats")
-    later = found.join(groups, ["hi", "lo"]).filter("rank <> first or start <> first_start")
-    return later.select("rank", "start", "stop", "first")
+    def run(batches):
+        for batch in batches:
+            for k in range(0, batch.num_rows, 256):  # a row's list is as long as its text has units
+                part = batch.slice(k, 256)
+                made = [work(x) for x in part.column(part.schema.get_field_index(column)).to_pylist()]
+                rows = pa.array(np.repeat(np.arange(len(made)), [len(m) for m in made]))
+                flat = pa.array([x for m in made for x in m], fields(part, column))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(rows), part.column(1).take(rows), *flat.flatten()], names=["id", "row", *[f.name for f in flat.type]])
+
+    def fields(part, column):
+        return part.schema.field(column).type.value_type
+
+    return df.select("id", "row", column).mapInArrow(run, f"id {kind}, row long, {schema}")
+
+
+def context(text: str, asks: list[tuple[int, int]], words: int = ANCHOR_SPAN) -> list[str]:
+    """The words, lower-cased, before the place (side 0) or from the place on (side 1), one string for each ask."""
+    at = [m.span() for m in WORD_STR.finditer(text)]
+    starts = [a for a, _ in at]
+    out = []
+    for place, side in asks:
+        i = bisect_left(starts, place)
+        near = at[max(0, i - words) : i] if side == 0 else at[i : i + words]
+        out.append(" ".join(text[a:b] for a, b in near).translate(LOWER_STR))
+    return out
+
+
+def grown(text: str, cuts: list[dict]) -> list[list[int]]:
+    """The spans to remove: lines as they are, runs of windows grown to the ends of the equal run, all merged."""
+    at = [m.span() for m in WORD_STR.finditer(text)] if any(c["near"] is not None for c in cuts) else []
+    starts = [a for a, _ in at]
+    word = lambda i: text[at[i][0] : at[i][1]].translate(LOWER_STR)
+    spans = []
+    for c in cuts:
+        a, b = c["start"], c["stop"]
+        near = c["near"].split(" ") if c["near"] else []
+        if c["side"] == 0:
+            i = bisect_left(starts, a)
+            while near and i and word(i - 1) == near[-1]:
+                near.pop()
+                i -= 1
+                a = at[i][0]
+        elif c["side"] == 1:
+            i = bisect_left(starts, b)
+            for w in near:
+                if i == len(at) or word(i) != w:
+                    break
+                b = at[i][1]
+                i += 1
+        spans.append([a, b])
+    out: list[list[int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], b)
+        else:
+            out.append([a, b])
+    return out
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """docs' id and text, removed (merged spans of code points), firsts (ids that hold the kept copies), kept_text."""
-    spans = repeats(docs, id_col, text).groupBy("rank").agg(
-        F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("s"), F.sort_array(F.collect_set("first")).alias("firsts")
+    found = materialise(units(docs, id_col, text), "dedup-units")
+    texts = found.filter("hi IS NULL").select("id", "row", "packed")
+    kind = docs.select(F.col(id_col).alias("id")).schema[0].dataType.simpleString()
+    later = repeats(found)
+    part = F.struct("passage", "fid", "frow", "fstart", "start", "stop", "fstop")
+    runs = _rows(
+        later.groupBy("id", "row").agg(F.collect_list(part).alias("spans")), "spans",
+        f"passage boolean, fid {kind}, frow long, fstart int, start int, stop int, fstop int", reduced,
+    )
+    runs = materialise(runs, "dedup-runs")
+    forget(later)
+    # the words around first occurrences
+    ends = F.array(F.struct(F.col("fstart").alias("place"), F.lit(0).alias("side")), F.struct(F.col("fstop").alias("place"), F.lit(1).alias("side")))
+    asks = runs.filter("passage").select("fid", "frow", F.inline(ends)).distinct()
+    asked = asks.groupBy("fid", "frow").agg(F.collect_list(F.struct("place", "side")).alias("asks"))
+    same = F.col("row").eqNullSafe(F.col("frow")) & F.col("id").eqNullSafe(F.col("fid"))
+    near = texts.join(asked, same).select("fid", "frow", "packed", "asks").mapInArrow(_contexts, f"fid {kind}, frow long, place int, side int, near string")
+    near = materialise(near.groupBy("fid", "frow", "place", "side").agg(F.first("near").alias("near")), "dedup-near")
+    # cuts of each later text
+    both = F.array(F.struct(F.col("fstart").alias("place"), F.lit(0).alias("side")), F.struct(F.col("fstop").alias("place"), F.lit(1).alias("side")))
+    tips = runs.filter("passage").select("id", "row", "start", "stop", F.col("fid").alias("gid"), F.col("frow").alias("grow"), F.inline(both).alias("gplace", "gside"))
+    meet = F.col("gid").eqNullSafe(F.col("fid")) & (F.col("grow") == F.col("frow")) & (F.col("gplace") == F.col("place")) & (F.col("gside") == F.col("side"))
+    tips = tips.join(near, meet).select("id", "row", "fid", "start", "stop", "side", "near")
+    whole = runs.filter("NOT passage").select("id", "row", "fid", "start", "stop", F.lit(-1).alias("side"), F.lit(None).cast("string").alias("near"))
+    cuts = tips.unionByName(whole).groupBy("id", "row").agg(
+        F.collect_list(F.struct("start", "stop", "side", "near")).alias("cuts"), F.sort_array(F.collect_set("fid")).alias("firsts")
     )
-    empty = F.array().cast("array<struct<a:int,b:int>>")
-    merged = F.aggregate(
-        "s",
-        F.struct(F.lit(-1).alias("a"), F.lit(-1).alias("b"), empty.alias("done")),
-        lambda acc, x: F.when(
-            x["start"] <= acc["b"], F.struct(acc["a"].alias("a"), F.greatest(acc["b"], x["stop"]).alias("b"), acc["done"].alias("done"))
-        ).otherwise(
-            F.struct(
-                x["start"].alias("a"), x["stop"].alias("b"),
-                F.when(acc["b"] < 0, empty).otherwise(F.concat(acc["done"], F.array(F.struct(acc["a"].alias("a"), acc["b"].alias("b"))))).alias("done"),
-            )
-        ),
-        lambda acc: F.concat(acc["done"], F.array(F.struct(acc["a"].alias("a"), acc["b"].alias("b")))),
+    cuts = materialise(cuts.select(F.col("id").alias("cid"), F.col("row").alias("crow"), "cuts", "firsts"), "dedup-cuts")
+    forget(runs, near)
+    out = texts.join(cuts, F.col("row").eqNullSafe(F.col("crow")) & F.col("id").eqNullSafe(F.col("cid")), "left")
+    empty = F.array().cast(f"array<{kind}>")
+    out = out.select("id", F.coalesce("firsts", empty).alias("firsts"), "packed", "cuts").mapInArrow(
+        _cut, f"`{id_col}` {kind}, firsts array<{kind}>, `{text}` string, removed array<struct<a:int,b:int>>, kept_text string"
     )
-    spans = spans.select("rank", merged.alias("removed"), "firsts")
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("rank"), F.col(id_col).alias("__id"), F.col(text).alias("__t"))
-    out = rows.join(spans, "rank", "left")
-    removed = F.coalesce("removed", empty)
-    gap = lambda x, i: F.substring(F.col("__t"), F.coalesce(F.get("removed", i - 1)["b"], F.lit(0)) + 1, x["a"] - F.coalesce(F.get("removed", i - 1)["b"], F.lit(0)))
-    tail = F.substring(F.col("__t"), F.element_at("removed", -1)["b"] + 1, F.length("__t"))
-    kept = F.when(F.col("removed").isNull(), F.col("__t")).otherwise(F.concat(F.array_join(F.transform("removed", gap), ""), tail))
-    firsts = F.coalesce("firsts", F.array().cast("array<bigint>"))
-    return out.select(F.col("__id").alias(id_col), F.col("__t").alias(text), removed.alias("removed"), firsts.alias("firsts"), kept.alias("kept_text"))
+    return out.select(id_col, text, "removed", "firsts", "kept_text")
+
+
+def _contexts(batches):
+    unpack = zstandard.ZstdDecompressor().decompress
+    for batch in batches:
+        for k in range(0, batch.num_rows, 64):
+            part = batch.slice(k, 64)
+            rows, place, side, near = [], [], [], []
+            for i, (packed, asks) in enumerate(zip(part.column(2).to_pylist(), part.column(3).to_pylist())):
+                asks = [(x["place"], x["side"]) for x in asks]
+                near += context(unpack(packed).decode(), asks)
+                rows += [i] * len(asks)
+                place += [p for p, _ in asks]
+                side += [s for _, s in asks]
+            at = pa.array(rows, pa.int64())
+            arrays = [part.column(0).take(at), part.column(1).take(at), pa.array(place, pa.int32()), pa.array(side, pa.int32()), pa.array(near, pa.string())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["fid", "frow", "place", "side", "near"])
+
+
+def _cut(batches):
+    unpack = zstandard.ZstdDecompressor().decompress
+    span = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
+    for batch in batches:
+        for at, to in slices(batch.column(2).cast(pa.binary())):
+            part = batch.slice(at, to - at)
+            texts, removed, kept = [], [], []
+            for packed, cuts in zip(part.column(2).to_pylist(), part.column(3).to_pylist()):
+                text = None if packed is None else unpack(packed).decode()
+                spans = grown(text, cuts) if cuts else []
+                texts.append(text)
+                removed.append([{"a": a, "b": b} for a, b in spans])
+                if spans:
+                    edges = [0, *[x for s in spans for x in s], len(text)]
+                    text = "".join(text[a:b] for a, b in zip(edges[::2], edges[1::2]))
+                kept.append(text)
+            arrays = [part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array(removed, span), pa.array(kept, pa.string())]
+            yield pa.RecordBatch.from_arrays(arrays, names=[batch.schema.field(0).name, "firsts", "text", "removed", "kept_text"])
 
 
 def dedup_report(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
