@@ -36,6 +36,8 @@ FIT_PAGES, FIT_BLOCKS, FIT_CHARS = 240, 60, 50_000
 PATH, WORDS, HIDDEN = 64, 32, 16
 INPUT = PATH + WORDS + 6
 STEPS, BATCH, RATE = 140, 24, 0.02
+#: Blocks that the labeller reads at once, over all pages of a batch.
+BLOCKS = 4096
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
 NAMES = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
@@ -52,17 +54,18 @@ GOOD, BAD = {"article", "main"}, set("nav header footer aside form button select
 
 
 class Block:
-    __slots__ = ("path", "text", "links")
+    """path: the hashed marks of all elements above, as bits; role: 1 if one names content, 2 if one names something else."""
 
-    def __init__(self, path: tuple[str, ...], text: str, links: int):
-        self.path, self.text, self.links = path, text, links
+    __slots__ = ("path", "role", "text", "links")
+
+    def __init__(self, path: int, role: int, text: str, links: int):
+        self.path, self.role, self.text, self.links = path, role, text, links
 
 
 def blocks(page: str) -> list[Block]:
     """The page's leaf blocks in order."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
-    path: tuple[str, ...] = ()
+    stack: list[tuple[str, int, int]] = []  # the open elements, each with the path and role of what it holds
     parts: list[str] = []
     links = in_link = at = 0
     skip = ""
@@ -72,7 +75,7 @@ def blocks(page: str) -> list[Block]:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                out.append(Block(path, text, links))
+                out.append(Block(*(stack[-1][1:] if stack else (0, 0)), text, links))
         parts, links = [], 0
 
     while m := TOKEN.search(page, at):
@@ -105,7 +108,6 @@ def blocks(page: str) -> list[Block]:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == name:
                     del stack[i:]
-                    path = sum((s[1] for s in stack), ())
                     break
             continue
         if name in RAW:
@@ -119,11 +121,14 @@ def blocks(page: str) -> list[Block]:
                 stack.pop()
         elif stack and stack[-1][0] == "p":
             stack.pop()  # a block element ends a paragraph
-        marks = [name]
+        path, role = stack[-1][1:] if stack else (0, 0)
+        marks = {name}
         for groups in NAMES.findall(m[3]):
-            marks += ["." + w for w in re.split(r"[^a-z0-9]+", "".join(groups).lower()) if w]
-        stack.append((name, tuple(marks)))
-        path = sum((s[1] for s in stack), ())
+            marks.update("." + w for w in re.split(r"[^a-z0-9]+", "".join(groups).lower()) if w)
+        for mark in marks:
+            path |= 1 << crc32(mark.encode()) % PATH
+        plain = {mark.lstrip(".") for mark in marks}
+        stack.append((name, path, role | bool(plain & GOOD) | 2 * bool(plain & BAD)))
     if not skip and at < len(page):
         parts.append(page[at:])
     flush()
@@ -133,9 +138,9 @@ def blocks(page: str) -> list[Block]:
 def vectors(found: list[Block]) -> np.ndarray:
     """One input vector for each block."""
     x = np.zeros((len(found), INPUT), np.float32)
+    paths = np.array([b.path for b in found], "<u8").reshape(-1, 1)
+    x[:, :PATH] = np.unpackbits(paths.view(np.uint8), axis=1, bitorder="little")
     for i, b in enumerate(found):
-        for p in b.path[-10:]:
-            x[i, crc32(p.encode()) % PATH] = 1.0
         words = b.text.split()
         hashed = np.bincount(np.fromiter((crc32(w.lower().encode()) % WORDS for w in words), np.int64, len(words)), minlength=WORDS)
         x[i, PATH : PATH + WORDS] = np.log1p(hashed) / 3
@@ -147,8 +152,7 @@ def vectors(found: list[Block]) -> np.ndarray:
 
 def label(b: Block) -> int:
     """1 if the elements above a block of a real page say that it is content."""
-    names = {p.lstrip(".") for p in b.path}
-    return int(bool(names & GOOD) and not names & BAD)
+    return int(b.role == 1)
 
 
 # ---- made-up frames
@@ -330,12 +334,15 @@ def fit(pages: DataFrame, page_id: str = "page_id", page: str = "html", most: in
 
 
 def main_texts(model: BiLstm, pages: list[str]) -> list[str]:
-    """The content of each page; pages of like length are read together."""
+    """The content of each page; pages of like length are read together, at most BLOCKS blocks at once but for a longer page."""
     found = [blocks(p) for p in pages]
     out = [""] * len(pages)
     order = sorted((i for i in range(len(pages)) if found[i]), key=lambda i: len(found[i]))
-    for at in range(0, len(order), 32):
-        part = order[at : at + 32]
+    while order:
+        n = 1
+        while n < min(32, len(order)) and (n + 1) * len(found[order[n]]) <= BLOCKS:
+            n += 1
+        part, order = order[:n], order[n:]
         x, mask, _ = padded([(vectors(found[i]), 0) for i in part])
         q = model.probabilities(x, mask)
         for k, i in enumerate(part):
