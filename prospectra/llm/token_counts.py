@@ -2,9 +2,11 @@
 
 A huge text is cut into overlapping chunks; each is encoded with offsets, and
 the two encodings are spliced at a boundary in their overlap that is proven
-stable: both have a token starting at the same place, just after white space,
-at which the tokenizer always splits, and both go on with the same tokens to
-the end of the overlap.  Where no such place exists, the overlap is widened.
+stable: both have a token starting at the same place, one at which the
+tokenizer always splits (after white space, or where two ASCII characters meet
+that no piece holds together), and both go on with the same tokens to the end
+of the overlap.  Where no such place exists, the overlap is widened, and then
+the chunk doubled, so a text without any is encoded at most twice over.
 Shorter texts are one chunk.  Between two such white spaces the encoding
 depends on nothing else, so the counts of such pieces are remembered in a
 worker (a bounded table, refilled when full) and the library is asked only for
@@ -17,6 +19,7 @@ rows each give a row.
 
 from __future__ import annotations
 
+import json
 import os
 from functools import lru_cache
 
@@ -39,7 +42,9 @@ def tokenizer_json(path: str | None = None) -> str:
 
         path = public_tokenizers.path("word_bpe_49k.json")
     with open(path, encoding="utf-8") as f:
-        return f.read()
+        text = f.read()
+    check_rules(text)
+    return text
 
 
 def load(text: str):
@@ -52,17 +57,47 @@ def load(text: str):
     return tok
 
 
+#: The only normaliser and pre-tokenizer for which splits are known.
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+NORMALISERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+
+
+def check_rules(text: str) -> None:
+    """Refuse a tokenizer file whose rules for cutting texts are others."""
+    spec = json.loads(text)
+    cut = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    right = (spec.get("normalizer") or {}).get("normalizers") == NORMALISERS and cut[0].get("pattern") == {"Regex": PIECES} and len(cut) == 2 and cut[1].get("type") == "ByteLevel"
+    if not right:
+        raise ValueError("a tokenizer that normalises or cuts texts by other rules is not supported")
+
+
+def _class(c: str) -> int:
+    """Of an ASCII character: letter 1, digit 2, white space 3, other 4; 0 for any other character."""
+    return 0 if c > "\x7f" else 1 if c.isalpha() else 2 if c.isdigit() else 3 if c.isspace() else 4
+
+
+def is_stable(text: str, at: int, special: tuple[str, ...]) -> bool:
+    """Whether the tokenizer always splits before text[at], whatever surrounds it."""
+    a, b = text[at - 1], text[at]
+    if a in " \n\t":
+        return True
+    x, y = _class(a), _class(b)
+    if not x or not y or 3 in (x, y) or (x == y and x != 2) or (a == "'" and y == 1):
+        return False
+    return not any(s in text[max(0, at - len(s) + 1) : at + len(s) - 1] for s in special)
+
+
 def encode_chunk(tok, text: str, start: int, end: int):
     """Ids and absolute starts of the tokens of text[start:end]."""
     e = tok.encode(text[start:end], add_special_tokens=False)
     return e.ids, [a + start for a, _ in e.offsets]
 
 
-def splice(text: str, left, right, low: int, high: int):
+def splice(text: str, left, right, low: int, high: int, special: tuple[str, ...]):
     """Positions (i, j) where right may take over from left, or None.
 
     Both encodings must agree from there to the end of the left chunk, at
-    least two pieces on, and the place must follow white space.
+    least two pieces on, and the place must be stable.
     """
     lids, lat = left
     rids, rat = right
@@ -73,13 +108,15 @@ def splice(text: str, left, right, low: int, high: int):
         rindex.setdefault(at, j)
     for i in range(len(lat)):
         at = lat[i]
-        if at <= low or text[at - 1] not in " \n\t" or (i and lat[i - 1] == at):
+        if at <= low or at >= high or (i and lat[i - 1] == at) or not is_stable(text, at, special):
             continue
         j = rindex.get(at)
         if j is None:
             continue
-        # the last piece of the left chunk may be cut; what precedes its last white space must agree
-        cut = max(text.rfind(" ", at, high), text.rfind("\n", at, high))
+        # the last piece of the left chunk may be cut; what precedes its last stable place must agree
+        cut = high - 1
+        while cut > at and not is_stable(text, cut, special):
+            cut -= 1
         if cut <= at:
             return None
         n = sum(1 for a in lat[i:] if a < cut)
@@ -90,24 +127,28 @@ def splice(text: str, left, right, low: int, high: int):
 
 def encode_long(tok, text: str, chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> list[int]:
     """The ids of text, encoded in overlapping chunks and spliced."""
+    special = tuple(t.content for t in tok.get_added_tokens_decoder().values())
     out: list[int] = []
     start, end = 0, min(chunk, len(text))
     left = encode_chunk(tok, text, start, end)
     while end < len(text):
-        wide = overlap
+        wide, seen, places = overlap, end, 0
         while True:
             begin = max(start, end - wide)
-            stop = min(len(text), max(end + 1, begin + chunk + wide))
-            # a chunk begins after white space where there is any, so that it begins a piece
-            right = encode_chunk(tok, text, begin, stop)
-            at = splice(text, left, right, begin, end)
+            places += sum(is_stable(text, p, special) for p in range(max(begin, 1), seen))
+            seen = max(begin, 1)
+            at = None
+            if places > 1:  # else nothing can agree yet
+                stop = min(len(text), max(end + 1, begin + chunk + wide))
+                right = encode_chunk(tok, text, begin, stop)
+                at = splice(text, left, right, begin, end, special)
             if at:
                 out += left[0][: at[0]]
                 left = (right[0][at[1] :], right[1][at[1] :])
                 start, end = left[1][0] if left[1] else begin, stop
                 break
-            if begin == start:  # no place agrees: the two chunks become one
-                end = min(len(text), end + chunk)
+            if begin == start:  # no place agrees: the chunk is doubled
+                end = min(len(text), end + max(chunk, end - start))
                 left = encode_chunk(tok, text, start, end)
                 break
             wide *= 2
