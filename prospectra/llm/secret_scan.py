@@ -40,10 +40,16 @@ RULES = [
     ("code_host", r"gh[pousr]_[A-Za-z0-9]{36,}", 0, 40),
     ("chat", r"xox[abprs]-[A-Za-z0-9-]{10,}", 0, 15),
     ("map_key", r"AIza[0-9A-Za-z_-]{35}", 0, 39),
-    ("web_token", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}", 0, 30),
+    ("web_token", r"\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}", 0, 1),
     ("private_key", PRIVATE_KEY, 0, 1),
-    ("url_login", r"[a-z][a-z0-9+.-]*://[^\s/:@]+:[^\s/:@]{3,}@[A-Za-z0-9.-]+", 0, 1),
+    ("url_login", r"://[^\s/:@]+:[^\s/:@]{3,}@[A-Za-z0-9.-]+", 0, 1),
 ]
+#: Rules that are searched from their middle, as a search from the left would scan a long run of their first characters
+#: anew at each: the characters that the part before may have, how it begins, and its least length.
+BEFORE = {
+    "web_token": (frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_-"), re.compile("eyJ"), 13),
+    "url_login": (frozenset("abcdefghijklmnopqrstuvwxyz0123456789+.-"), re.compile("[a-z]"), 1),
+}
 BASE = ("assign", "access", "hex")
 #: Sets of strings larger than this are given up for what they contain.
 MOST = 64
@@ -175,10 +181,28 @@ def find(text: str, rules=None) -> list[tuple[str, int, int]]:
     """Every rule's matches in a text, without an index (for verifying)."""
     out = []
     for kind, regex, group, least in rules or _compiled():
-        out += [(kind, *m.span()) for m in regex.finditer(text) if m.end(group) - m.start(group) >= least]
+        if kind in BEFORE:
+            out += [(kind, a, b) for a, b in _from_the_middle(text, regex, *BEFORE[kind])]
+        else:
+            out += [(kind, *m.span()) for m in regex.finditer(text) if m.end(group) - m.start(group) >= least]
     return out
 
 
+def _from_the_middle(text: str, regex, allowed, head, least):
+    """Leftmost non-overlapping matches of a head, allowed characters (at least so many in all), and regex."""
+    done = at = 0
+    while m := regex.search(text, at):
+        a = m.start()
+        while a > done and text[a - 1] in allowed:
+            a -= 1
+        begin = head.search(text, a, m.start())
+        if begin and m.start() - begin.start() >= least:
+            yield begin.start(), m.end()
+            done = at = m.end()
+        else:
+            at = m.start() + 1
+
+
 def _compiled(rules=None):
     return [(k, re.compile(p, re.ASCII), g, n) for k, p, g, n in rules or RULES]
 
