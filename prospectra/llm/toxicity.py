@@ -297,19 +297,17 @@ def held_out(doc_id):
 
 def spans_of(text: str, q: np.ndarray) -> list[list[int]]:
     """Runs of tokens with a marginal of a half or more, as code point offsets."""
-    data, out, last = text.encode(), [], -2
-    hot = set(np.flatnonzero(q >= 0.5).tolist())
-    if not hot:
-        return out
-    for i, m in enumerate(WORD.finditer(data)):
-        if i in hot:
-            a, b = len(data[: m.start()].decode()), len(data[: m.end()].decode())
-            if last == i - 1:
-                out[-1][1] = b
-            else:
-                out.append([a, b])
-            last = i
-    return out
+    hot = q >= 0.5
+    if not hot.any():
+        return []
+    data = text.encode()
+    at = np.array([m.span() for m in WORD.finditer(data)], np.int64)
+    edge = np.flatnonzero(np.diff(np.concatenate(([0], hot.astype(np.int8), [0]))))
+    runs = np.stack([at[edge[::2], 0], at[edge[1::2] - 1, 1]], 1)
+    if not data.isascii():
+        points = np.concatenate(([0], np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)))
+        runs = points[runs]
+    return runs.tolist()
 
 
 def toxicity_report(docs: DataFrame, scorer: Scorer, id_col: str = "doc_id", text: str = "text") -> DataFrame:
