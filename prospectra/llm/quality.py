@@ -23,6 +23,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import forget, materialise
+
 SPACES = " \t\n\x0b\x0c\r"
 SPACE_RE = "[ \\x09-\\x0D]+"
 SYMBOLS = "#*$%&|<>"
@@ -191,13 +193,16 @@ def decision(rules) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "quality", rows: int = FIT_ROWS) -> list:
     """Learn the list from at most rows labelled documents that pass the base rule.
 
-    Which ones is decided by a hash of the id, the same at every size.
+    Which ones is decided by a hash of the id, the same at every size; of rows that share an id the least text counts.
     """
     marked = labels.filter(F.col(label).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.min(label).alias("__y"))
     picked = marked.orderBy(F.xxhash64("__id"), "__id").limit(rows)
     chosen = docs.select(F.col(id_col).alias("__id"), F.col(text).alias("__t")).join(F.broadcast(picked), "__id")
+    chosen = chosen.groupBy("__id", "__y").agg(F.min("__t").alias("__t"))
+    chosen = materialise(chosen, "quality-sample")  # so that statistics are made of these rows only, and once
     sample = statistics(chosen, ["__id", "__y"], "__t").filter(~base_failed())
-    collected = sample.select((1 - F.col("__y")).cast("int").alias("bad"), *FEATURES).limit(2 * rows).collect()
+    collected = sample.select((1 - F.col("__y")).cast("int").alias("bad"), *FEATURES).collect()
+    forget(chosen)
     return learn([r.asDict() for r in collected])
 
 

@@ -212,6 +212,18 @@ def test_quality_base(spark, small, odd):
         assert quality.keep_good(docs, labels).columns == docs.columns
 
 
+def test_quality_verdicts_on_rows_not_learned_from(spark):
+    big = "/root/testdata/sf0.1"
+    docs, labels = docs_of(spark, big), spark.read.parquet(f"{big}/labels.parquet")
+    out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    rules = quality.fit(docs, labels.filter(~out))
+    rows = quality.judge(docs, rules, ["doc_id"]).filter("NOT base_failed").join(labels.filter(out), "doc_id").select("kept", "quality").collect()
+    for good in (0, 1):
+        part = [r["kept"] == bool(good) for r in rows if r["quality"] == good]
+        print("labelled", good, "right", sum(part), "of", len(part))
+        assert sum(part) >= 0.95 * len(part)
+
+
 def test_decision_list_is_learned():
     rng = random.Random(5)
     rows = [{f: rng.random() for f in quality.FEATURES} for _ in range(900)]
