@@ -26,6 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.graph import components
 from .common import forget, map_texts, materialise
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -56,7 +57,11 @@ def shingle_hashes(text: bytes | None, width: int = WIDTH) -> np.ndarray:
 
 def fingerprint(text: bytes | None, width: int = WIDTH) -> int:
     """The 64-bit fingerprint of a UTF-8 text."""
-    hashes = shingle_hashes(text, width)
+    return bits_of(shingle_hashes(text, width))
+
+
+def bits_of(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
     if not len(hashes):
         return 0
     count = np.zeros(64, np.int64)
@@ -82,22 +87,13 @@ def fingerprints(docs: DataFrame, keep: list[str], text: str = "text") -> DataFr
 # ---- the trie self-join of one group, in numpy
 
 
-def trie_links(fps: np.ndarray, budget: int = BITS) -> np.ndarray:
-    """For sorted distinct uint64 fingerprints, the smallest index linked to each, through any chain.
+def trie_pairs(fps: np.ndarray, budget: int = BITS):
+    """For sorted distinct uint64 fingerprints, arrays of index pairs that differ in at most budget bits.
 
     The trie's nodes are ranges of the sorted array that share a prefix.
     """
-    n = len(fps)
-    parent = np.arange(n)
-
-    def root(i):
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
     # a stack of blocks of node pairs (a range, b range, bit reached, differing bits); a == b: a node with itself
-    stack = [(np.array([[0, n, 0, n, 0]]), 63)]
+    stack = [(np.array([[0, len(fps), 0, len(fps), 0]]), 63)]
     while stack:
         pairs, bit = stack.pop()
         if len(pairs) > 200_000:  # walk in parts, so that memory stays bounded
@@ -112,10 +108,9 @@ def trie_links(fps: np.ndarray, budget: int = BITS) -> np.ndarray:
             leaf = pairs[single & (a0 != b0)]
             if len(leaf):
                 far = np.bitwise_count(fps[leaf[:, 0]] ^ fps[leaf[:, 2]])
-                for i, j in leaf[far <= budget][:, [0, 2]]:
-                    x, y = root(i), root(j)
-                    if x != y:
-                        parent[max(x, y)] = min(x, y)
+                near = leaf[far <= budget][:, [0, 2]]
+                if len(near):
+                    yield near
             pairs = pairs[~single]
             if not len(pairs):
                 continue
@@ -133,6 +128,24 @@ def trie_links(fps: np.ndarray, budget: int = BITS) -> np.ndarray:
         alive &= ~((pairs[:, 0] == pairs[:, 2]) & (pairs[:, 1] - pairs[:, 0] == 1))  # a leaf with itself
         if alive.any():
             stack.append((pairs[alive], bit - 1))
+
+
+def trie_links(fps: np.ndarray, budget: int = BITS) -> np.ndarray:
+    """For sorted distinct uint64 fingerprints, the smallest index linked to each, through any chain."""
+    n = len(fps)
+    parent = np.arange(n)
+
+    def root(i):
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    for near in trie_pairs(fps, budget):
+        for i, j in near:
+            x, y = root(i), root(j)
+            if x != y:
+                parent[max(x, y)] = min(x, y)
     return np.array([root(i) for i in range(n)], np.int64)
 
 
@@ -213,60 +226,30 @@ def _walk_groups(batches):
 
 def links(nodes: DataFrame, group_most: int = GROUP_MOST) -> DataFrame:
     """(a, b): for distinct fingerprints fp, a forest whose trees are the classes of linked ones."""
-    spark = nodes.sparkSession
     groups = nodes.select(F.lit(0).alias("path"), F.lit(0).cast("long").alias("key"), "fp")
-    out = None
+    out, used = None, []
     for level in range(LEVELS):
         dealt = _deal(groups, level)
         if level:  # these are few: groups that were too large
             dealt = materialise(dealt, "simhash-groups")
+            used.append(dealt)
         large = None
         if level < LEVELS - 1:
             large = materialise(dealt.groupBy("key").count().filter(F.col("count") > group_most).select("key"), "simhash-large")
+            used.append(large)
             if large.isEmpty():
                 large = None
         small = dealt if large is None else dealt.join(large, "key", "left_anti")
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
         ordered = small.select("key", "fp").repartition("key").sortWithinPartitions("key", "fp")
         found = materialise(ordered.mapInArrow(_walk_groups, "a long, b long"), "simhash-links")
         out = found if out is None else out.unionByName(found)
         if large is None:
             break
         groups = dealt.join(large, "key", "left_semi").select("path", "key", "fp")
+    forget(*used)
     return out
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root): for each end of an edge (a, b), the smallest node it reaches.
-
-    Large- and small-star steps in turn, each a grouped minimum and a join of
-    written tables, until the edges stay the same.
-    """
-    ends = edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    star = materialise(ends.distinct(), "star")
-    mark = _mark(star)
-    while mark[0]:
-        both = star.unionByName(star.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = materialise(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "star-least")
-        large = materialise(both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "star-large")
-        least2 = materialise(large.groupBy("u").agg(F.min("v").alias("m")), "star-least")
-        pairs = F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
-        small = materialise(large.join(least2, "u").select(F.inline(pairs)).filter("u <> v").distinct(), "star")
-        was, mark = mark, _mark(small)
-        for old in (star, least, large, least2):
-            forget(old)
-        star = small
-        if mark == was:
-            break
-    roots = star.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
-    return star.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
-
-
-def _mark(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))"), F.expr("bit_xor(hash(v, u))")).first()
-    return tuple(row)
-
-
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", group_most: int = GROUP_MOST) -> DataFrame:
     """Each row's id, its fingerprint in hex, and component_id, the smallest id it reaches."""
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
@@ -278,11 +261,13 @@ def _classes(docs: DataFrame, id_col: str, text: str, group_most: int) -> DataFr
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("digest"), F.col(text).alias("t"))
     made = materialise(fingerprints(rows, ["id", "digest"], "t"), "simhash-fp")
     nodes = materialise(made.groupBy("fp").agg(F.min("id").alias("first")), "simhash-nodes")
-    roots = materialise(components(links(nodes, group_most)), "simhash-roots")
+    edges = links(nodes, group_most)
+    roots = components(edges)
     linked = nodes.join(roots, nodes["fp"] == roots["node"]).select("fp", "first", "root")
     of_root = linked.groupBy("root").agg(F.min("first").alias("component_id"))
     alone = nodes.join(roots, nodes["fp"] == roots["node"], "left_anti").select("fp", F.col("fp").alias("root"), F.col("first").alias("component_id"))
     classes = materialise(linked.join(of_root, "root").select("fp", "root", "component_id").unionByName(alone), "simhash-classes")
+    forget(nodes, edges, roots)
     return made.join(classes, "fp")
 
 
@@ -302,7 +287,9 @@ def keep_one_each(
         from .similar import classes
 
         found = classes(docs, id_col, text, width, similarity)
+    made = found
     found = materialise(found.select("id", "digest", "root", "component_id"), "simhash-found")
+    forget(made)
     drop = materialise(found.filter("id <> component_id").select("id", "digest").distinct(), "simhash-drop")
     kept = docs.join(drop, (docs[id_col] == drop["id"]) & (F.xxhash64(docs[text]) == drop["digest"]), "left_anti")
     twice = materialise(found.filter("id = component_id").groupBy("id", "root").count().filter("count > 1").select("id").distinct(), "simhash-twice")

@@ -1,18 +1,19 @@
-"""Near-duplicates by exact Jaccard similarity of word shingles.
+"""SimHash near-duplicates of a given Jaccard similarity, links confirmed on whole sets.
 
-Two sets of shingles with a Jaccard similarity of t or more have a shingle in
-common among the first n - ceil(t n) + 1 of each, in any order that holds for
-all texts (prefix filtering).  So texts are grouped by these shingles, and
-pairs of a group are compared on their whole sets: every pair of similarity t
-or more is found, and nothing else is linked.  A bit budget on fingerprints
-can't promise that: at t = 0.8 about 10 of 64 bits differ, with a wide spread.
+At a Jaccard similarity of 0.8 some 10 of 64 bits differ, with a wide spread, so
+blocks of equal bits can't deal the fingerprints as they do for 2 bits.  Texts
+are dealt by shingles instead: two sets with a similarity of t or more share a
+shingle among the first n - ceil(t n) + 1 of each, in any order that holds for
+all texts (prefix filtering).  In each group the binary trie of fingerprints is
+joined with itself under a budget of BUDGET bits, far beyond what such pairs
+differ in (a pair at the limit exceeds it about once in 100,000), and what is
+left is compared on whole sets.
 
 The order decides only the cost: shingles that are frequent in a sample come
-last, so a common line makes no large group.  Groups with the same members are
-taken once.  In each, all are first compared with the middle one by size, then
-the pairs that are not in one component yet; so a large group of near copies
-costs one comparison each and not one for each pair.  Before sets are fetched, a
-sketch drops pairs that provably differ in too many shingles.
+last, so a common line makes no large group.  First all texts of a group are
+compared with its least one only; so a large group of near copies costs one
+comparison each and not one for each pair.  Only groups whose texts are not in
+one component then go through the trie, large ones in blocks.
 
 Results for special cases: null and empty texts are copies of each other and
 of nothing else; a text shorter than a shingle is one shingle; texts with
@@ -26,17 +27,19 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graph import components
 from .common import forget, map_texts, materialise
-from .simhash import components, shingle_hashes
+from .simhash import bits_of, shingle_hashes, trie_pairs
 
-WIDTH, SIMILARITY = 5, 0.8
+WIDTH, SIMILARITY, BUDGET = 5, 0.8, 26
 #: The sample that frequent shingles are read from, how many of its texts hold one, and the most that are put last.
-SAMPLE, FREQUENT, FREQUENT_MOST = 50_000, 2, 500_000
-#: 64-bit words of a sketch: the parities of a set's shingles by 64 * WORDS places.
-WORDS = 8
+SAMPLE, FREQUENT, FREQUENT_MOST = 10_000, 2, 500_000
+#: Texts of one group, and of one centre, that a task compares at once.
+GROUP_MOST = 2048
 
 
 def prefix(shingles: np.ndarray, frequent: np.ndarray, similarity: float) -> np.ndarray:
@@ -50,12 +53,6 @@ def prefix(shingles: np.ndarray, frequent: np.ndarray, similarity: float) -> np.
     return np.concatenate((shingles[~last], shingles[last]))[:size]
 
 
-def sketch(shingles: np.ndarray) -> np.ndarray:
-    """Parities of the shingles by place: two sketches differ in at most as many bits as the sets in shingles."""
-    odd = np.bincount((shingles >> np.uint64(40)).astype(np.int64) % (64 * WORDS), minlength=64 * WORDS) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64)
-
-
 def frequent_shingles(docs: DataFrame, width: int, text: str = "text") -> np.ndarray:
     """Shingles that many texts of a sample hold."""
 
@@ -72,83 +69,158 @@ def frequent_shingles(docs: DataFrame, width: int, text: str = "text") -> np.nda
     return np.sort(top.select("s").toArrow().column(0).to_numpy().view(np.uint64))
 
 
-def _nodes(docs: DataFrame, keep: dict[str, str], text: str, width: int, similarity: float) -> DataFrame:
-    """Columns keep, node (a digest of the text's set), its size n, its sketch, and the shingles of its prefix."""
+def _rows(docs: DataFrame, keep: dict[str, str], text: str, width: int, similarity: float) -> DataFrame:
+    """Columns keep, node (a digest of the text's set), its size n, its fingerprint fp, the shingles of its prefix, the packed text."""
     frequent = frequent_shingles(docs, width, text)
 
     def start():
+        pack = zstandard.ZstdCompressor(level=1).compress
+
         def work(texts):
             sets = [np.unique(shingle_hashes(t, width)) for t in texts]
             first = [prefix(s, frequent, similarity) for s in sets]
             ends = np.concatenate(([0], np.cumsum([len(x) for x in first])))
-            keys = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(first).view(np.int64)))
-            node = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
-            bits = np.stack([sketch(s) for s in sets])
-            return {"node": node, "n": pa.array([len(s) for s in sets], pa.int64()), **{f"s{i}": bits[:, i] for i in range(WORDS)}, "keys": keys}
+            return {
+                "node": np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64),
+                "n": pa.array([len(s) for s in sets], pa.int64()), "fp": np.array([bits_of(s) for s in sets], np.uint64).view(np.int64),
+                "keys": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(first).view(np.int64))),
+                "packed": pa.array([pack(t or b"") for t in texts], pa.binary()),
+            }
 
         return work
 
-    return map_texts(docs, text, "node long, n long, " + "".join(f"s{i} long, " for i in range(WORDS)) + "keys array<bigint>", start, keep)
+    return map_texts(docs, text, "node long, n long, fp long, keys array<bigint>, packed binary", start, keep)
 
 
 def _possible(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
-    """Without the pairs (a, b) whose sketches alone show that the sets differ in too many shingles."""
-    side = lambda k: nodes.select(F.col("node").alias(k), F.col("n").alias("n" + k), *[F.col(f"s{i}").alias(f"s{i}{k}") for i in range(WORDS)])
+    """The pairs (a, b) whose sizes and fingerprints allow so much similarity, each once."""
+    side = lambda k: nodes.select(F.col("node").alias(k), F.col("n").alias("n" + k), F.col("fp").alias("f" + k))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
-    differ = sum((F.bit_count(F.col(f"s{i}a").bitwiseXOR(F.col(f"s{i}b"))) for i in range(WORDS)), F.lit(0))
-    most = (1 - similarity) / (1 + similarity) * (F.col("na") + F.col("nb"))
-    return materialise(both.filter(differ <= most + 1e-6).select("a", "b"), "similar-pairs")
+    near = F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= BUDGET
+    fits = F.least("na", "nb") >= F.lit(similarity - 1e-9) * F.greatest("na", "nb")
+    return both.filter(near & fits).select("a", "b")
 
 
-def _confirmed(pairs: DataFrame, made: DataFrame, rows: DataFrame, width: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets are as similar; the sets are made anew from one text of each node."""
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    one = materialise(made.join(asked, "node").groupBy("node").agg(F.min("digest").alias("digest")), "similar-asked")
-    texts = rows.select("digest", "t").join(one, "digest").dropDuplicates(["node"])
+def _confirmed(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, width: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets are as similar; sets are made anew from one text of each node.
 
-    def start():
-        return lambda ts: {"s": [np.unique(shingle_hashes(t, width)).tobytes() for t in ts]}
-
-    sets = materialise(map_texts(texts, "t", "s binary", start, {"node": "node"}), "similar-sets")
+    The texts b of an a meet it in parts of at most some GROUP_MOST, however many there are.
+    """
+    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP_MOST).cast("int").alias("parts"))
+    leaves = pairs.join(parts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), F.col("b").alias("node"), F.lit(1).alias("leaf"))
+    tops = parts.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("a").alias("node"), F.lit(0).alias("leaf"))
+    asked = materialise(leaves.unionByName(tops), "similar-asked")
+    wanted = asked.select("node").distinct().join(nodes.select("node", "rid"), "node")
+    texts = materialise(rows.select("rid", "packed").join(wanted, "rid").select("node", "packed"), "similar-texts")
+    given = asked.join(texts, "node").select("a", "part", "leaf", "node", "packed")
 
     def run(batches):
+        unpack = zstandard.ZstdDecompressor().decompress
+        set_of = lambda packed: np.unique(shingle_hashes(unpack(packed), width))
+        top = own = None
         for batch in batches:
-            sides = [[np.frombuffer(x, np.uint64) for x in batch.column(i).to_pylist()] for i in (2, 3)]
-            common = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(*sides)]
-            keep = [c / (len(x) + len(y) - c) >= similarity for c, x, y in zip(common, *sides)]
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-
-    left, right = sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), sets.select(F.col("node").alias("b"), F.col("s").alias("sb"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb")
-    links = materialise(both.mapInArrow(run, "a long, b long"), "similar-links")
-    forget(sets)
+            a, part, leaf, node, packed = (batch.column(i).to_pylist() for i in range(5))
+            out = []
+            for i in range(len(a)):
+                if not leaf[i]:
+                    top, own = (a[i], part[i]), set_of(packed[i])
+                    continue
+                other = set_of(packed[i])
+                common = len(np.intersect1d(own, other, assume_unique=True))
+                if common / (len(own) + len(other) - common) >= similarity:
+                    out.append((top[0], node[i]))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], names=["a", "b"])
+
+    ordered = given.repartition("a", "part").sortWithinPartitions("a", "part", "leaf")
+    links = materialise(ordered.mapInArrow(run, "a long, b long"), "similar-links")
+    forget(asked, texts)
     return links
 
 
+def _walk(batches):
+    """Pairs (a, b) within the bit budget, of different roots, in each group of sorted rows (group, i, j, side, node, fp, root)."""
+    held: list = []
+
+    def pairs(parts):
+        side, node, fp, root = (np.concatenate([p[k] for p in parts]) for k in range(4))
+        fps, which = np.unique(fp.view(np.uint64), return_inverse=True)
+        order = np.argsort(which, kind="stable")
+        ends = np.searchsorted(which[order], np.arange(len(fps) + 1))
+        cross = len(np.unique(side)) > 1  # two blocks: pairs inside one are another group's
+        same = np.stack([np.arange(len(fps))] * 2, 1)
+        for found in (same, *trie_pairs(fps, BUDGET)):
+            x, y = found.T
+            sizes = (ends[x + 1] - ends[x]) * (ends[y + 1] - ends[y])
+            for at in range(0, len(x), 4096):
+                out = []
+                for i, j, n in zip(x[at : at + 4096], y[at : at + 4096], sizes[at : at + 4096]):
+                    if i == j and n == 1:
+                        continue
+                    p, q = order[ends[i] : ends[i + 1]], order[ends[j] : ends[j + 1]]
+                    p, q = np.repeat(p, len(q)), np.tile(q, len(p))
+                    ok = (root[p] != root[q]) & ((i != j) | (p < q))
+                    if cross:
+                        ok &= side[p] != side[q]
+                    if ok.any():
+                        out.append(np.stack([np.minimum(node[p], node[q])[ok], np.maximum(node[p], node[q])[ok]]))
+                if out:
+                    a, b = np.concatenate(out, 1)
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    for batch in batches:
+        cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(7)]
+        keys = np.stack(cols[:3], 1)
+        if not len(keys):
+            continue
+        cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)]
+        for s, e in zip(cuts, cuts[1:]):
+            if held and (held[0][0] != keys[s]).any():
+                yield from pairs([x for _, x in held])
+                held = []
+            held.append((keys[s], [c[s:e] for c in cols[3:]]))
+    if held:
+        yield from pairs([x for _, x in held])
+
+
+def _rest(members: DataFrame, roots: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of a group that are not in one component yet and may be as similar."""
+    placed = members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    placed = materialise(placed, "similar-placed")
+    groups = placed.groupBy("key").agg(
+        F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("m"), F.bit_xor("node").alias("s"), F.bit_xor(F.xxhash64("node")).alias("t")
+    )
+    # groups with the same members are taken once
+    mixed = groups.filter("x <> y").groupBy("m", "s", "t").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("m") / GROUP_MOST).cast("int").alias("blocks"))
+    rows = placed.join(mixed, "key").join(nodes.select("node", "fp"), "node")
+    side = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    rows = rows.withColumn("side", side).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("key", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "node", "fp", "root")
+    found = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_walk, "a long, b long")
+    found = materialise(_possible(found.distinct(), nodes, similarity), "similar-rest")
+    forget(placed)
+    return found
+
+
 def classes(docs: DataFrame, id_col: str, text: str, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
     """(id, digest of the text, root, component_id) of each row."""
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("digest"), F.col(text).alias("t"))
-    made = materialise(_nodes(rows, {"id": "id", "digest": "digest"}, "t", width, similarity), "similar-nodes")
-    nodes = materialise(made.filter("n > 0").drop("id", "digest").dropDuplicates(["node"]), "similar-distinct")
-    dealt = nodes.select(F.explode("keys").alias("key"), F.struct("n", "node").alias("m"))
-    groups = dealt.groupBy("key").agg(F.sort_array(F.collect_list("m")).alias("ms")).filter(F.size("ms") > 1)
-    groups = materialise(groups.select("ms").dropDuplicates(["ms"]).select(F.xxhash64("ms").alias("g"), "ms"), "similar-groups")
-    members = groups.select("g", F.inline("ms"))
-    fits = lambda x, y: F.least(x, y) >= F.lit(similarity - 1e-9) * F.greatest(x, y)
-    centre = groups.select(F.col("ms")[F.floor(F.size("ms") / 2).cast("int")].alias("c"), F.inline("ms"))
-    first = centre.filter((F.col("c.node") != F.col("node")) & fits(F.col("c.n"), F.col("n")))
-    first = first.select(F.least("c.node", "node").alias("a"), F.greatest("c.node", "node").alias("b")).distinct()
-    first = _possible(first, nodes, similarity)
-    links = _confirmed(first, made, rows, width, similarity)
-    roots = materialise(components(links), "similar-roots")
-    placed = members.join(roots, "node", "left").select("g", "node", "n", F.coalesce("root", "node").alias("root"))
-    mixed = placed.groupBy("g").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("g")
-    placed = materialise(placed.join(mixed, "g", "left_semi"), "similar-placed")
-    x, y = (placed.select("g", *[F.col(c).alias(c + k) for c in ("node", "n", "root")]) for k in "xy")
-    rest = x.join(y, "g").filter((F.col("nodex") < F.col("nodey")) & (F.col("rootx") != F.col("rooty")) & fits(F.col("nx"), F.col("ny")))
-    rest = rest.select(F.col("nodex").alias("a"), F.col("nodey").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    links = links.unionByName(_confirmed(_possible(rest, nodes, similarity), made, rows, width, similarity))
-    roots = materialise(components(links), "similar-roots")
-    found = made.join(roots, "node", "left").select("id", "digest", F.coalesce("root", "node").alias("root"))
+    given = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("digest"), F.col(text).alias("t"))
+    rows = _rows(given, {"id": "id", "digest": "digest"}, "t", width, similarity).withColumn("rid", F.monotonically_increasing_id())
+    rows = materialise(rows, "similar-rows")
+    one = rows.filter("n > 0").groupBy("node").agg(F.min("rid").alias("rid")).select("rid")
+    nodes = materialise(rows.select("rid", "node", "n", "fp", "keys").join(one, "rid", "left_semi"), "similar-nodes")
+    dealt = nodes.select("node", F.explode("keys").alias("key"))
+    groups = dealt.groupBy("key").agg(F.count("*").alias("m"), F.min("node").alias("least")).filter("m > 1").select("key", "least")
+    members = materialise(dealt.join(groups, "key"), "similar-members")
+    first = members.filter("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
+    first = materialise(_possible(first, nodes, similarity), "similar-first")
+    links = _confirmed(first, nodes, rows, width, similarity)
+    roots = components(links)
+    rest = _rest(members.select("key", "node"), roots, nodes, similarity)
+    more = _confirmed(rest.join(first, ["a", "b"], "left_anti"), nodes, rows, width, similarity)
+    forget(members, first, rest, roots)
+    roots = components(links.unionByName(more))
+    found = rows.join(roots, "node", "left").select("id", "digest", F.coalesce("root", "node").alias("root"))
     found = materialise(found, "similar-found")
+    forget(rows, nodes, links, more, roots)
     return found.join(found.groupBy("root").agg(F.min("id").alias("component_id")), "root")
