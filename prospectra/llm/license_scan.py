@@ -1,24 +1,32 @@
 """Licence scans: Dice coefficient over word bigrams against templates.
 
-A text is cut into sentences and lines.  A segment at least half of whose
-bigrams belong to a template is a candidate part of it; neighbouring candidate
-parts are joined, and the run's bigrams (a multiset) are compared with the
-template's.  A run can only reach the threshold t if its bigrams number
-between t / (2 - t) and (2 - t) / t times the template's, which prunes
-templates before any comparison; a text that lacks all of more than the
-tolerable share of a template's bigrams skips it altogether.
+Any run of a text's words may be a licence, wherever sentences or lines end.
+Of a run, the bigrams (a multiset) are compared with a template's.  A run can
+only reach the threshold t if its bigrams number between t / (2 - t) and
+(2 - t) / t times the template's and it shares t / (2 - t) of them; so a
+template is pruned where so many of its bigrams don't lie in a stretch of so
+few words, and a text that lacks the words of more than the tolerable share of
+a template's bigrams skips it altogether.  From each start that is left, the
+end with the best coefficient is taken; a run begins and ends with a bigram of
+the template, as any other would score less.
+
+A full licence text is reported by its own template or, for the long ones
+(Apache, GPL, LGPL, AGPL, MPL), by the header or opening that it contains.
 
 Results for special cases: null and empty texts, and texts of fewer than two
 words, have no licence; equal rows each give a row; a licence found twice is
-listed twice with its offsets (code points, end exclusive); of templates that
-match the same words the best (then the first by name) is reported.
+listed twice with its offsets (code points, end exclusive); of overlapping runs
+the best (then the longest, then the first by name) is reported.
 """
 
 from __future__ import annotations
 
+import math
 import re
+from bisect import bisect_left
 from collections import Counter, defaultdict
 
+import numpy as np
 from pyspark.sql import DataFrame
 
 from .common import map_texts
@@ -26,9 +34,15 @@ from .common import map_texts
 THRESHOLD = 0.8
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+(?:\.[0-9]+)*")
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
-BREAK = re.compile(rb"\n|[.!?;:](?=\s|$)")
 
-#: Common licence notices and short licence texts.
+#: The disclaimer that ends the BSD licences, and common licence notices, headers and texts.
+BSD_DISCLAIMER = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES,
+INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL,
+SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR
+SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY,
+WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF
+THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
 TEMPLATES = {
     "agpl-3.0-notice": "This work is licensed under the GNU Affero General Public License, version 3.",
     "apache-2.0-notice": "Licensed under the Apache License, Version 2.0.",
@@ -37,11 +51,28 @@ compliance with the License. You may obtain a copy of the License at http://www.
 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on
 an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the
 specific language governing permissions and limitations under the License.""",
+    "agpl-3.0-header": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero
+General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your
+option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY;
+without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General
+Public License for more details.""",
     "bsd-2-clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that
 the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of
 conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this
 list of conditions and the following disclaimer in the documentation and/or other materials provided with the
-distribution.""",
+distribution.
+""" + BSD_DISCLAIMER,
+    "bsd-3-clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that
+the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of
+conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this
+list of conditions and the following disclaimer in the documentation and/or other materials provided with the
+distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or
+promote products derived from this software without specific prior written permission.
+""" + BSD_DISCLAIMER,
+    "bsl-1.0": """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and
+accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute,
+and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the
+Software is furnished to do so, all subject to the following:""",
     "bsd-3-clause-notice": "Released under the BSD 3-Clause License.",
     "cc-by-4.0-notice": "Licensed under CC BY 4.0.",
     "cc-by-nc-4.0-notice": "Licensed under CC BY-NC 4.0.",
@@ -50,13 +81,25 @@ distribution.""",
     "cc0-1.0-notice": "Dedicated to the public domain under CC0 1.0.",
     "gpl-2.0-notice": "This work is licensed under the GNU General Public License, version 2.",
     "gpl-3.0-notice": "This work is licensed under the GNU General Public License, version 3.",
+    "gpl-2.0-header": """This program is free software; you can redistribute it and/or modify it under the terms of the GNU General
+Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any
+later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even
+the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for
+more details.""",
     "gpl-3.0-header": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General
 Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any
 later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even
 the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for
 more details.""",
     "isc": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby
-granted, provided that the above copyright notice and this permission notice appear in all copies.""",
+granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS
+PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES
+OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR
+CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF
+CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS
+SOFTWARE.""",
+    "lgpl-3.0-opening": """This version of the GNU Lesser General Public License incorporates the terms and conditions of version 3 of the
+GNU General Public License, supplemented by the additional permissions listed below.""",
     "lgpl-3.0-notice": "This work is licensed under the GNU Lesser General Public License, version 3.",
     "mit-notice": "Released under the MIT License.",
     "mit": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
@@ -70,6 +113,16 @@ HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTIO
 ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
     "mpl-2.0-notice": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL
 was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.""",
+    "unlicense": """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish,
+use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose,
+commercial or non-commercial, and by any means.""",
+    "zlib": """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held
+liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for
+any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following
+restrictions: The origin of this software must not be misrepresented; you must not claim that you wrote the original
+software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated
+but is not required. Altered source versions must be plainly marked as such, and must not be misrepresented as being
+the original software. This notice may not be removed or altered from any source distribution.""",
     "unlicense-notice": "This is free and unencumbered software released into the public domain.",
 }
 
@@ -114,54 +167,56 @@ class Templates:
         ratio = self.t / (2 - self.t)
         return ratio * self.size[name], self.size[name] / ratio
 
+    def runs(self, name: str, grams: list[tuple], at: list[int]):
+        """(dice, first bigram, last bigram) of runs that reach the threshold, the best from each start."""
+        size, counts = self.size[name], self.grams[name]
+        low, high = self.bounds(name)
+        need, most = math.ceil(low - 1e-9), math.floor(high + 1e-9)
+        if len(at) < need:
+            return
+        places = np.array(at)
+        starts = np.flatnonzero(places[need - 1 :] - places[: len(at) - need + 1] < most)
+        if not len(starts):
+            return
+        # a bigram counts in a run if the one as many occurrences before as the template has lies before the run
+        before, seen = np.full(len(at), -1), defaultdict(list)
+        for h, i in enumerate(at):
+            places_of = seen[grams[i]]
+            n = counts[grams[i]]
+            if len(places_of) >= n:
+                before[h] = places_of[-n]
+            places_of.append(h)
+        for h in starts.tolist():
+            end = np.searchsorted(places, places[h] + most)
+            common = np.cumsum(before[h:end] < h)
+            d = 2 * common / (places[h:end] - places[h] + 1 + size)
+            best = int(d.argmax())
+            if d[best] >= self.t - 1e-12:
+                yield float(d[best]), at[h], at[h + best]
+
     def find(self, text: bytes) -> list[tuple[str, float, int, int]]:
         """(template, dice, start, end) in bytes, by start."""
         low = text.translate(LOWER)
         if self.anchors.isdisjoint(WORD.findall(low)):
             return []
         tokens = [(m.group(), m.start(), m.end()) for m in WORD.finditer(low)]
-        cuts = [m.end() for m in BREAK.finditer(low)]
-        # segments: ranges of tokens between cuts
-        ranges, at = [], 0
-        for cut in [*cuts, len(low)]:
-            end = at
-            while end < len(tokens) and tokens[end][2] <= cut:
-                end += 1
-            if end == at + 1 and ranges:  # a single word has no bigram of its own
-                ranges[-1] = (ranges[-1][0], end)
-            elif end > at:
-                ranges.append((at, end))
-            at = end
-        if at < len(tokens):
-            ranges.append((at, len(tokens)))
         words = [t[0] for t in tokens]
-        runs: dict[str, list[list[int]]] = defaultdict(list)
-        for i, (a, b) in enumerate(ranges):
-            votes: Counter = Counter()
-            pairs = list(zip(words[a:b], words[a + 1 : b]))
-            for k in pairs:
-                votes.update(self.index.get(k, ()))
-            for name, n in votes.items():
-                if 2 * n >= len(pairs):
-                    last = runs[name][-1] if runs[name] else None
-                    if last and last[2] == i - 1:
-                        last[1:] = [b, i]
-                    else:
-                        runs[name].append([a, b, i])
+        hits: dict[str, list[int]] = defaultdict(list)
+        grams = list(zip(words, words[1:]))
+        for i, k in enumerate(grams):
+            for name in self.index.get(k, ()):
+                hits[name].append(i)
         found = []
-        for name, parts in runs.items():
-            low_n, high_n = self.bounds(name)
-            for a, b, _ in parts:
-                if low_n <= b - a - 1 <= high_n:
-                    d = dice(self.grams[name], bigrams(words[a:b]))
-                    if d >= self.t:
-                        found.append((name, d, tokens[a][1], tokens[b - 1][2]))
+        for name, at in hits.items():
+            for d, i, j in self.runs(name, grams, at):
+                found.append((name, d, tokens[i][1], tokens[j + 1][2]))
         # of overlapping matches the best, then the longest, then the first by name
         kept: list = []
         for f in sorted(found, key=lambda f: (-round(f[1], 9), f[2] - f[3], f[0])):
-            if all(f[3] <= k[2] or f[2] >= k[3] for k in kept):
-                kept.append(f)
-        return sorted(kept, key=lambda f: f[2])
+            k = bisect_left(kept, f[2], key=lambda x: x[2])
+            if (k == len(kept) or f[3] <= kept[k][2]) and (not k or kept[k - 1][3] <= f[2]):
+                kept.insert(k, f)
+        return kept
 
 
 def license_report(docs: DataFrame, id_col: str = "doc_id", text: str = "text", templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
