@@ -5,15 +5,19 @@ blocks of equal bits can't deal the fingerprints as they do for 2 bits.  Texts
 are dealt by shingles instead: two sets with a similarity of t or more share a
 shingle among the first n - ceil(t n) + 1 of each, in any order that holds for
 all texts (prefix filtering).  In each group the binary trie of fingerprints is
-joined with itself under a budget of BUDGET bits, far beyond what such pairs
-differ in (a pair at the limit exceeds it about once in 100,000), and what is
-left is compared on whole sets.
+joined with itself under a budget of bits, and what is left is compared on
+whole sets.  Fingerprints have 128 bits here, of which pairs at the limit
+differ in 19, give or take 4, and unrelated ones in 64: a budget of 40 leaves
+out such a pair about once in a million.
 
 The order decides only the cost: shingles that are frequent in a sample come
 last, so a common line makes no large group.  First all texts of a group are
 compared with its least one only; so a large group of near copies costs one
-comparison each and not one for each pair.  Only groups whose texts are not in
-one component then go through the trie, large ones in blocks.
+comparison each and not one for each pair.  Groups whose texts are not in one
+component yet go through the trie, large ones in parts: the largest component
+is dealt to parts, the others meet each part.  Texts with a possible partner
+are then compared inside the part's task, which gives links and never rows of
+pairs.
 
 Results for special cases: null and empty texts are copies of each other and
 of nothing else; a text shorter than a shingle is one shingle; texts with
@@ -35,11 +39,13 @@ from ..operators.graph import components
 from .common import forget, map_texts, materialise
 from .simhash import bits_of, shingle_hashes, trie_pairs
 
-WIDTH, SIMILARITY, BUDGET = 5, 0.8, 26
+WIDTH, SIMILARITY = 5, 0.8
+#: Differing bits of 128, and of the first 64, at most.
+BUDGET, HALF = 40, 28
 #: The sample that frequent shingles are read from, how many of its texts hold one, and the most that are put last.
 SAMPLE, FREQUENT, FREQUENT_MOST = 10_000, 2, 500_000
 #: Texts of one group, and of one centre, that a task compares at once.
-GROUP_MOST = 2048
+GROUP_MOST = 1024
 
 
 def prefix(shingles: np.ndarray, frequent: np.ndarray, similarity: float) -> np.ndarray:
@@ -53,6 +59,14 @@ def prefix(shingles: np.ndarray, frequent: np.ndarray, similarity: float) -> np.
     return np.concatenate((shingles[~last], shingles[last]))[:size]
 
 
+def more_bits(hashes: np.ndarray) -> np.ndarray:
+    """A second 64-bit hash of each hash (the finisher of splitmix64, an invertible mix)."""
+    x = hashes + np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
 def frequent_shingles(docs: DataFrame, width: int, text: str = "text") -> np.ndarray:
     """Shingles that many texts of a sample hold."""
 
@@ -70,7 +84,7 @@ def frequent_shingles(docs: DataFrame, width: int, text: str = "text") -> np.nda
 
 
 def _rows(docs: DataFrame, keep: dict[str, str], text: str, width: int, similarity: float) -> DataFrame:
-    """Columns keep, node (a digest of the text's set), its size n, its fingerprint fp, the shingles of its prefix, the packed text."""
+    """Columns keep, node (a digest of the text's set), its size n, its fingerprint in fp and gp, the shingles of its prefix, the packed text."""
     frequent = frequent_shingles(docs, width, text)
 
     def start():
@@ -83,20 +97,21 @@ def _rows(docs: DataFrame, keep: dict[str, str], text: str, width: int, similari
             return {
                 "node": np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64),
                 "n": pa.array([len(s) for s in sets], pa.int64()), "fp": np.array([bits_of(s) for s in sets], np.uint64).view(np.int64),
+                "gp": np.array([bits_of(more_bits(s)) for s in sets], np.uint64).view(np.int64),
                 "keys": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(first).view(np.int64))),
                 "packed": pa.array([pack(t or b"") for t in texts], pa.binary()),
             }
 
         return work
 
-    return map_texts(docs, text, "node long, n long, fp long, keys array<bigint>, packed binary", start, keep)
+    return map_texts(docs, text, "node long, n long, fp long, gp long, keys array<bigint>, packed binary", start, keep)
 
 
 def _possible(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) whose sizes and fingerprints allow so much similarity, each once."""
-    side = lambda k: nodes.select(F.col("node").alias(k), F.col("n").alias("n" + k), F.col("fp").alias("f" + k))
+    side = lambda k: nodes.select(F.col("node").alias(k), F.col("n").alias("n" + k), F.col("fp").alias("f" + k), F.col("gp").alias("g" + k))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
-    near = F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= BUDGET
+    near = F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) + F.bit_count(F.col("ga").bitwiseXOR(F.col("gb"))) <= BUDGET
     fits = F.least("na", "nb") >= F.lit(similarity - 1e-9) * F.greatest("na", "nb")
     return both.filter(near & fits).select("a", "b")
 
@@ -138,68 +153,123 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, width: int,
     return links
 
 
-def _walk(batches):
-    """Pairs (a, b) within the bit budget, of different roots, in each group of sorted rows (group, i, j, side, node, fp, root)."""
+def group_pairs(fp: np.ndarray, gp: np.ndarray, root: np.ndarray):
+    """Arrays (i, j, differing bits) of the rows of one group within the budget, of different roots, i < j in no order."""
+    values, which = np.unique(fp, return_inverse=True)
+    order = np.argsort(which, kind="stable")
+    ends = np.searchsorted(which[order], np.arange(len(values) + 1))
+    same = np.flatnonzero(np.diff(ends) > 1)
+    for found in (np.stack([same, same], 1), *trie_pairs(values, HALF)):
+        for at in range(0, len(found), 65536):
+            x, y = found[at : at + 65536].T
+            n, m = ends[x + 1] - ends[x], ends[y + 1] - ends[y]
+            k = np.arange((n * m).sum()) - np.repeat(np.cumsum(n * m) - n * m, n * m)
+            m = np.repeat(m, n * m)
+            i, j = order[np.repeat(ends[x], n * (ends[y + 1] - ends[y])) + k // m], order[np.repeat(ends[y], n * (ends[y + 1] - ends[y])) + k % m]
+            ok = (root[i] != root[j]) & ((fp[i] != fp[j]) | (i < j))
+            i, j = i[ok], j[ok]
+            far = np.bitwise_count(fp[i] ^ fp[j]) + np.bitwise_count(gp[i] ^ gp[j])
+            near = far <= BUDGET
+            if near.any():
+                yield i[near], j[near], far[near]
+
+
+def _groups(batches, n_columns: int):
+    """(key, part, columns) of each run of equal (key, part) in sorted batches; only one is held at a time."""
     held: list = []
-
-    def pairs(parts):
-        side, node, fp, root = (np.concatenate([p[k] for p in parts]) for k in range(4))
-        fps, which = np.unique(fp.view(np.uint64), return_inverse=True)
-        order = np.argsort(which, kind="stable")
-        ends = np.searchsorted(which[order], np.arange(len(fps) + 1))
-        cross = len(np.unique(side)) > 1  # two blocks: pairs inside one are another group's
-        same = np.stack([np.arange(len(fps))] * 2, 1)
-        for found in (same, *trie_pairs(fps, BUDGET)):
-            x, y = found.T
-            sizes = (ends[x + 1] - ends[x]) * (ends[y + 1] - ends[y])
-            for at in range(0, len(x), 4096):
-                out = []
-                for i, j, n in zip(x[at : at + 4096], y[at : at + 4096], sizes[at : at + 4096]):
-                    if i == j and n == 1:
-                        continue
-                    p, q = order[ends[i] : ends[i + 1]], order[ends[j] : ends[j + 1]]
-                    p, q = np.repeat(p, len(q)), np.tile(q, len(p))
-                    ok = (root[p] != root[q]) & ((i != j) | (p < q))
-                    if cross:
-                        ok &= side[p] != side[q]
-                    if ok.any():
-                        out.append(np.stack([np.minimum(node[p], node[q])[ok], np.maximum(node[p], node[q])[ok]]))
-                if out:
-                    a, b = np.concatenate(out, 1)
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-
+    whole = lambda: (*held[0][0], [pa.concat_arrays([x[k] for _, x in held]) for k in range(n_columns - 2)])
     for batch in batches:
-        cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(7)]
-        keys = np.stack(cols[:3], 1)
-        if not len(keys):
+        if not batch.num_rows:
             continue
-        cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)]
+        keys, parts = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
+        cuts = [0, *(np.flatnonzero((np.diff(keys) != 0) | (np.diff(parts) != 0)) + 1).tolist(), len(keys)]
         for s, e in zip(cuts, cuts[1:]):
-            if held and (held[0][0] != keys[s]).any():
-                yield from pairs([x for _, x in held])
+            key = (int(keys[s]), int(parts[s]))
+            if held and held[0][0] != key:
+                yield whole()
                 held = []
-            held.append((keys[s], [c[s:e] for c in cols[3:]]))
+            held.append((key, [batch.column(i)[s:e] for i in range(2, n_columns)]))
     if held:
-        yield from pairs([x for _, x in held])
+        yield whole()
+
 
+def _hopeful(batches):
+    """Of sorted rows (key, part, minor, node, fp, gp, root): those with a possible partner of another root in their part."""
+    for key, part, cols in _groups(batches, 7):
+        fp, gp, root = (cols[k].to_numpy() for k in (2, 3, 4))
+        hope = np.zeros(len(fp), bool)
+        for i, j, _ in group_pairs(fp.view(np.uint64), gp.view(np.uint64), root):
+            hope[i] = hope[j] = True
+        if hope.any():
+            keep = pa.array(np.flatnonzero(hope))
+            n = len(keep)
+            yield pa.RecordBatch.from_arrays([pa.array([key] * n), pa.array([part] * n, pa.int32()), cols[0].take(keep), cols[1].take(keep), cols[4].take(keep)], names=["key", "part", "minor", "node", "root"])
+
+
+def joined_sets(sets: list[np.ndarray], root: np.ndarray, minor: np.ndarray, part: int, similarity: float):
+    """Pairs (i, j) of sets as similar, that join different roots; a forest of them.
+
+    One set is held against all others at once, by its marks in the group's vocabulary.
+    """
+    _, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    size = np.array([len(s) for s in sets])
+    begin = np.concatenate(([0], np.cumsum(size)[:-1]))
+    root = np.unique(root, return_inverse=True)[1]
+    marks = np.zeros(flat.max() + 1, np.int32)
+    for i in range(len(sets)):
+        ask = root != root[i]
+        if part and minor[i]:
+            ask &= minor == 0  # the small components meet each other in the first part
+        if not ask.any():
+            continue
+        own = flat[begin[i] : begin[i] + size[i]]
+        marks[own] = 1
+        common = np.add.reduceat(marks[flat], begin)
+        marks[own] = 0
+        for j in np.flatnonzero(ask & (common >= similarity * (size + size[i] - common))).tolist():
+            if root[i] != root[j]:
+                yield i, j
+                root[root == root[j]] = root[i]
 
-def _rest(members: DataFrame, roots: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) of a group that are not in one component yet and may be as similar."""
+
+def _linker(width: int, similarity: float):
+    """Over sorted rows (key, part, minor, node, root, packed): links (a, b) of each part."""
+
+    def run(batches):
+        unpack = zstandard.ZstdDecompressor().decompress
+        for _, part, cols in _groups(batches, 6):
+            minor, node, root = (cols[k].to_numpy() for k in range(3))
+            sets = [np.unique(shingle_hashes(unpack(x), width)) for x in cols[3].to_pylist()]
+            found = list(joined_sets(sets, root, minor, part, similarity))
+            if found:
+                a, b = node[np.array(found).T]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    return run
+
+
+def _rest(members: DataFrame, roots: DataFrame, nodes: DataFrame, rows: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Links (a, b) between texts of a group that are not in one component yet."""
     placed = members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    placed = materialise(placed, "similar-placed")
     groups = placed.groupBy("key").agg(
         F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("m"), F.bit_xor("node").alias("s"), F.bit_xor(F.xxhash64("node")).alias("t")
     )
     # groups with the same members are taken once
-    mixed = groups.filter("x <> y").groupBy("m", "s", "t").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("m") / GROUP_MOST).cast("int").alias("blocks"))
-    rows = placed.join(mixed, "key").join(nodes.select("node", "fp"), "node")
-    side = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    rows = rows.withColumn("side", side).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("key", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "node", "fp", "root")
-    found = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_walk, "a long, b long")
-    found = materialise(_possible(found.distinct(), nodes, similarity), "similar-rest")
-    forget(placed)
-    return found
+    mixed = groups.filter("x <> y").groupBy("m", "s", "t").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("m") / GROUP_MOST).cast("int").alias("parts"))
+    mixed = materialise(placed.join(mixed, "key"), "similar-mixed")
+    sizes = mixed.groupBy("key", "root").count().groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("most"))
+    own = F.array(F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    everywhere = F.sequence(F.lit(0), F.col("parts") - 1)
+    dealt = mixed.join(sizes, "key").withColumn("minor", (F.col("root") != F.col("most")).cast("int"))
+    dealt = dealt.withColumn("part", F.explode(F.when(F.col("minor") == 1, everywhere).otherwise(own))).join(nodes.select("node", "fp", "gp"), "node")
+    dealt = dealt.select("key", "part", "minor", "node", "fp", "gp", "root").repartition("key", "part").sortWithinPartitions("key", "part")
+    hopeful = materialise(dealt.mapInArrow(_hopeful, "key long, part int, minor int, node long, root long"), "similar-hopeful")
+    asked = hopeful.select("node").distinct().join(nodes.select("node", "rid"), "node")
+    texts = materialise(rows.select("rid", "packed").join(asked, "rid").select("node", "packed"), "similar-texts")
+    given = hopeful.join(texts, "node").select("key", "part", "minor", "node", "root", "packed").repartition("key", "part").sortWithinPartitions("key", "part")
+    links = materialise(given.mapInArrow(_linker(width, similarity), "a long, b long"), "similar-links")
+    forget(mixed, hopeful, texts)
+    return links
 
 
 def classes(docs: DataFrame, id_col: str, text: str, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
@@ -208,19 +278,20 @@ def classes(docs: DataFrame, id_col: str, text: str, width: int = WIDTH, similar
     rows = _rows(given, {"id": "id", "digest": "digest"}, "t", width, similarity).withColumn("rid", F.monotonically_increasing_id())
     rows = materialise(rows, "similar-rows")
     one = rows.filter("n > 0").groupBy("node").agg(F.min("rid").alias("rid")).select("rid")
-    nodes = materialise(rows.select("rid", "node", "n", "fp", "keys").join(one, "rid", "left_semi"), "similar-nodes")
+    nodes = materialise(rows.select("rid", "node", "n", "fp", "gp", "keys").join(one, "rid", "left_semi"), "similar-nodes")
     dealt = nodes.select("node", F.explode("keys").alias("key"))
     groups = dealt.groupBy("key").agg(F.count("*").alias("m"), F.min("node").alias("least")).filter("m > 1").select("key", "least")
-    members = materialise(dealt.join(groups, "key"), "similar-members")
-    first = members.filter("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
+    starred = materialise(dealt.join(groups, "key"), "similar-starred")
+    first = starred.filter("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
     first = materialise(_possible(first, nodes, similarity), "similar-first")
     links = _confirmed(first, nodes, rows, width, similarity)
+    members = materialise(starred.select("key", "node"), "similar-members")
+    forget(starred, first)
+    roots = components(links)
+    links = links.unionByName(_rest(members, roots, nodes, rows, width, similarity))
+    forget(members, roots)
     roots = components(links)
-    rest = _rest(members.select("key", "node"), roots, nodes, similarity)
-    more = _confirmed(rest.join(first, ["a", "b"], "left_anti"), nodes, rows, width, similarity)
-    forget(members, first, rest, roots)
-    roots = components(links.unionByName(more))
     found = rows.join(roots, "node", "left").select("id", "digest", F.coalesce("root", "node").alias("root"))
     found = materialise(found, "similar-found")
-    forget(rows, nodes, links, more, roots)
+    forget(rows, nodes, links, roots)
     return found.join(found.groupBy("root").agg(F.min("id").alias("component_id")), "root")
