@@ -23,8 +23,9 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def blank_to_null(c) -> Column:
-    return F.nullif(F.trim(col(c)), F.lit(""))
+def stripped(c) -> Column:
+    """Without white space at both ends."""
+    return F.regexp_replace(col(c), r"^\s+|\s+$", "")
 
 
 def name_key(c) -> Column:
@@ -40,7 +41,7 @@ def zip5(c) -> Column:
     return F.left(digits(c), F.lit(5))
 
 
-def phone_key(c, registry: bool = False) -> Column:
+def phone_key(c) -> Column:
     """The last ten digits, or null if there aren't ten."""
     d = digits(c)
     ok = F.length(d) >= 10
@@ -93,21 +94,26 @@ def under_domain(host: Column, domains: list[str]) -> Column:
 
 
 def clean_url(c) -> Column:
-    """Null words and blanks to null; a search redirect unwrapped; a scheme added."""
-    x = F.trim(col(c))
+    """Null words and blanks to null; the target of a search redirect, as it stands; a scheme added."""
+    x = stripped(c)
     x = F.when(~F.lower(x).isin("", "null", "none", "n/a", "undefined"), x)
-    inner = F.regexp_extract(x, "google\\.com/url\\?(?:.*&)?q=([^&]+)", 1)
-    x = F.when(inner != "", F.url_decode(inner)).otherwise(x)
-    return F.when(F.lower(x).rlike("^https?://"), x).otherwise(F.concat(F.lit("https://"), x))
+    inner = F.regexp_extract(x, "[?&]q=([^&]+)", 1)
+    x = F.when(F.contains(x, F.lit("google.com/url?")) & (inner != ""), inner).otherwise(x)
+    return F.when(x.startswith("http://") | x.startswith("https://"), x).otherwise(F.concat(F.lit("https://"), x))
+
+
+def root_domain(url) -> Column:
+    """The lower-case text between the slashes and a path or port, without a leading www."""
+    host = F.lower(F.regexp_extract(col(url), "^https?://([^/?#:]*)", 1))
+    return F.regexp_replace(host, "^www\\.", "")
 
 
 def website_class(c) -> Column:
     """(type, has_website) of a URL; the order of the rules is their meaning."""
-    url = clean_url(c)
-    host = url_host(url)
+    host = root_domain(clean_url(c))
     out = lambda t, has: F.struct(F.lit(t).alias("type"), F.lit(has).alias("has_website"))
     return (
-        F.when(url.isNull() | (host == ""), out("none", False))
+        F.when(host.isNull() | (host == ""), out("none", False))
         .when(host.endswith(".business.site") | host.endswith(".negocio.site"), out("google_site", False))
         .when(under_domain(host, V.CHAIN_DOMAINS), out("corporate_chain", True))
         .when(under_domain(host, V.SOCIAL_DOMAINS), out("social_media", False))
@@ -121,22 +127,21 @@ def is_target_lead(website_type: Column, social: bool = True, site: bool = True)
 
 
 def phone_display(c) -> Column:
-    """(XXX) XXX-XXXX for a ten-digit number with an optional 1, else the text itself."""
-    x = F.trim(col(c))
-    d = F.regexp_replace(x, "[^0-9]", "")
-    d = F.when((F.length(d) == 11) & d.startswith("1"), F.substring(d, 2, 10)).otherwise(d)
-    shown = F.concat(F.lit("("), F.substring(d, 1, 3), F.lit(") "), F.substring(d, 4, 3), F.lit("-"), F.substring(d, 7, 4))
-    return F.when(F.length(d) == 10, shown).otherwise(x)
+    """The first ten-digit number inside the text as (XXX) XXX-XXXX, else the text itself; blank to null."""
+    pattern = r"(?:\+?1[-.\s]?)?\(?([0-9]{3})\)?[-.\s]?([0-9]{3})[-.\s]?([0-9]{4})"
+    x, part = col(c), lambda i: F.regexp_extract(col(c), pattern, i)
+    shown = F.concat(F.lit("("), part(1), F.lit(") "), part(2), F.lit("-"), part(3))
+    return F.when(x != "", F.when(x.rlike(pattern), shown).otherwise(stripped(x)))
 
 
 def us_address(c) -> Column:
-    """street, city, state and zip of a one-line address; the first zip- and state-shaped tokens count."""
-    x = F.trim(col(c))
-    zip_ = F.regexp_extract(x, "\\b([0-9]{5})(?:-[0-9]{4})?\\b", 1)
-    state = F.regexp_extract(x, "\\b([A-Z]{2})\\b", 1)
-    parts = F.transform(F.split(x, ","), lambda p: F.trim(p))
+    """street, city, state and zip of a one-line address: a last country goes, the first two parts are street and city."""
+    x = F.when(col(c) != "", stripped(F.regexp_replace(stripped(c), r"(?i),?\s*(?:United States|USA|US)$", "")))
+    parts = F.filter(F.transform(F.split(x, ","), stripped), lambda p: p != "")
+    zip_ = F.regexp_extract(x, r"\b([0-9]{5})(?:-[0-9]{4})?\b", 1)
+    state = F.upper(F.regexp_extract(x, r"(?i)\b(" + "|".join(V.US_STATES) + r")\b", 1))
     return F.struct(
-        F.nullif(F.get(parts, F.lit(0)), F.lit("")).alias("street"), F.when(F.size(parts) >= 3, F.get(parts, F.size(parts) - 2)).alias("city"),
+        F.get(parts, F.lit(0)).alias("street"), F.get(parts, F.lit(1)).alias("city"),
         F.nullif(state, F.lit("")).alias("state"), F.nullif(zip_, F.lit("")).alias("zip"),
     )
 
@@ -147,9 +152,9 @@ def clean_email(c) -> Column:
     local, domain = email_local(x), email_domain(x)
     tld = F.regexp_extract(domain, "\\.([^.]*)$", 1)
     good = (
-        (F.length(F.regexp_replace(x, "[^@]", "")) == 1) & (F.length(x) <= 254) & F.length(local).between(1, 64) & (F.length(domain) >= 3)
-        & domain.contains(".") & ~local.startswith(".") & ~local.endswith(".") & ~local.contains("..") & local.rlike("^[a-z0-9._%+-]+$")
-        & F.forall(F.split(domain, "\\."), lambda p: p.rlike("^[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?$")) & (F.length(tld) >= 2) & ~tld.rlike("^[0-9]+$")
+        (F.length(F.regexp_replace(col(c), "[^@]", "")) == 1) & (F.length(x) <= 254) & F.length(local).between(1, 64) & (F.length(domain) >= 3)
+        & domain.contains(".") & ~local.startswith(".") & ~local.endswith(".") & ~local.contains("..") & local.rlike(r"^[a-z0-9.!#$%&'*+/=?^_`{|}~-]+\z")
+        & F.forall(F.split(domain, "\\."), lambda p: p.rlike("^[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?\\z")) & (F.length(tld) >= 2) & ~tld.rlike("^[0-9]+$")
         & ~tld.isin(V.ASSET_EXTENSIONS) & ~under_domain(domain, V.BLACKLIST_DOMAINS) & ~F.split_part(local, F.lit("+"), F.lit(1)).isin(V.SYSTEM_PREFIXES)
     )
     return F.when(good, x)
@@ -157,8 +162,9 @@ def clean_email(c) -> Column:
 
 def email_confidence(email: Column, name: Column, city: Column) -> Column:
     """0.65, more for name tokens, the city and a free provider; at most 0.98."""
-    local, domain = email_local(F.lower(email)), email_domain(F.lower(email))
-    tokens = F.filter(tokens_of(name), lambda t: (F.length(t) > 2) & ~t.isin(V.GENERIC_BUSINESS_TOKENS))
+    local, domain = email_local(email), email_domain(email)
+    plain = F.regexp_replace(F.lower(F.coalesce(name, F.lit(""))), r"[^a-z0-9\s]", "")
+    tokens = F.filter(F.split(plain, r"\s+"), lambda t: (F.length(t) > 2) & ~t.isin(V.CONFIDENCE_STOPS))
     hits = F.size(F.filter(tokens, lambda t: local.contains(t) | domain.contains(t)))
     score = (
         F.lit(0.65) + F.when(hits >= 2, 0.25).when(hits == 1, 0.15).otherwise(0.0)

@@ -42,21 +42,28 @@ def duplicate_pairs(ent: DataFrame) -> DataFrame:
     return every.groupBy("left_id", "right_id").agg(F.array_sort(F.collect_set("reason")).alias("reasons"))
 
 
-def source_matches(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(left_id, right_id and four flags): three equi-joins, their flags united per pair."""
+def source_matches(left: DataFrame, right: DataFrame, best_only: bool = False) -> DataFrame:
+    """(left_id, right_id and four flags): three equi-joins, their flags united per pair.
+
+    All pairs of a phone that many rows of both sides share are given, so the
+    result can grow with the square of such a group.  With best_only it does
+    not: of pairs that only a phone joins, a left row gets the one of the least
+    right id, as no other can be its best match; pairs of the other arms tell
+    by themselves whether the phones agree.
+    """
     a = keyed(left).select(F.col("place_id").alias("left_id"), *KEYS)
     b = keyed(right).select(F.col("place_id").alias("right_id"), *[F.col(k).alias(f"r_{k}") for k in KEYS])
     named, zipped = F.length("name_key") >= 4, F.length("zip5") == 5
+    called = F.coalesce(F.col("phone_key") == F.col("r_phone_key"), F.lit(False))
     arm = lambda rows, on, e, p, n, z: rows.join(b, [F.col(k) == F.col(f"r_{k}") for k in on]).select(
-        "left_id", "right_id", F.lit(e).alias("email_match"), F.lit(p).alias("phone_match"), F.lit(n).alias("name_match"), z.alias("postcode_match")
+        "left_id", "right_id", F.lit(e).alias("email_match"), p.alias("phone_match"), F.lit(n).alias("name_match"), z.alias("postcode_match")
     )
     same_zip = (F.col("zip5") == F.col("r_zip5")) & (F.col("zip5") != "")
-    arms = [
-        arm(a.filter(named & X.is_usable("email_key")), ["email_key", "name_key"], True, False, True, same_zip),
-        arm(a.filter(F.col("phone_key").isNotNull()), ["phone_key"], False, True, False, F.lit(False)),
-        arm(a.filter(named & zipped), ["name_key", "zip5"], False, False, True, F.lit(True)),
-    ]
-    every = arms[0].unionByName(arms[1]).unionByName(arms[2])
+    every = arm(a.filter(named & X.is_usable("email_key")), ["email_key", "name_key"], True, called, True, same_zip)
+    every = every.unionByName(arm(a.filter(named & zipped), ["name_key", "zip5"], False, called, True, F.lit(True)))
+    if best_only:
+        b = b.groupBy("r_phone_key").agg(F.min("right_id").alias("right_id"))
+    every = every.unionByName(arm(a.filter(F.col("phone_key").isNotNull()), ["phone_key"], False, F.lit(True), False, F.lit(False)))
     flags = ["email_match", "phone_match", "name_match", "postcode_match"]
     return every.groupBy("left_id", "right_id").agg(*[F.bool_or(f).alias(f) for f in flags])
 

@@ -14,19 +14,21 @@ from ..functions import values as V
 
 
 def fold(c) -> Column:
-    """Lower case, accents dropped, & spelt out, all but letters and digits squeezed to one space."""
+    """Lower case, combining marks dropped, & spelt out, d/b/a and dba dropped, all but a-z and digits one space."""
 
     @F.pandas_udf("string")
     def plain(x: pd.Series) -> pd.Series:
-        return x.map(lambda s: None if s is None else unicodedata.normalize("NFKD", s).encode("ascii", "ignore").decode())
+        bare = lambda s: s if s.isascii() else "".join(k for k in unicodedata.normalize("NFKD", s) if not unicodedata.combining(k))
+        return x.map(lambda s: None if s is None else bare(s))
 
-    x = F.lower(F.replace(plain(c), F.lit("&"), F.lit(" and ")))
-    return F.trim(F.regexp_replace(F.regexp_replace(F.coalesce(x, F.lit("")), "[^a-z0-9]+", " "), r"\bd b a\b|\bdba\b", " "))
+    x = F.replace(F.lower(F.coalesce(plain(c), F.lit(""))), F.lit("&"), F.lit(" and "))
+    x = F.regexp_replace(x, r"(?<![\p{L}\p{N}_])(?:d/b/a|dba)(?![\p{L}\p{N}_])", " ")
+    return F.trim(F.regexp_replace(x, "[^a-z0-9]+", " "))
 
 
 def business_name(folded: Column) -> Column:
     """A folded name without its legal endings."""
-    return F.trim(F.regexp_replace(folded, r"(?:^|\s)(?:(?:" + "|".join(V.LEGAL_SUFFIXES) + r")\s*)+$", ""))
+    return F.trim(F.regexp_replace(folded, r"(?:(?:^|\s)(?:" + "|".join(V.LEGAL_SUFFIXES) + r")(?=\s|$))+$", ""))
 
 
 def sequence_ratios(left: Column, right: Column) -> Column:
@@ -43,27 +45,22 @@ def sequence_ratios(left: Column, right: Column) -> Column:
 
 def name_similarity(left: Column, right: Column) -> Column:
     """0 to 1 of two business names; 0 if either is blank."""
-    a, b = F.array_distinct(F.split(left, " ")), F.array_distinct(F.split(right, " "))
-    common = F.size(F.array_intersect(a, b))
-    jaccard = common / F.size(F.array_union(a, b))
+    a, b = F.split(left, " "), F.split(right, " ")
+    common, n, m = F.size(F.array_intersect(a, b)), F.size(F.array_distinct(a)), F.size(F.array_distinct(b))
+    jaccard = common / (n + m - common)
     contained = F.least(F.size(a), F.size(b)) / F.greatest(F.size(a), F.size(b))
-    mixed = 0.72 * jaccard + 0.28 * contained
-    inside = (common == F.size(a)) | (common == F.size(b))
-    mixed = F.when(inside, F.greatest(mixed, F.lit(0.9))).otherwise(mixed)
-    shorter = F.when(F.size(F.split(left, " ")) <= F.size(F.split(right, " ")), left).otherwise(right)
-    longer = F.when(F.size(F.split(left, " ")) <= F.size(F.split(right, " ")), right).otherwise(left)
-    phrase = F.when((F.size(F.split(shorter, " ")) >= 2) & F.contains(longer, shorter), 0.96).otherwise(0.0)
-    score = F.least(F.lit(1.0), F.greatest(sequence_ratios(left, right), phrase, mixed))
+    contained = F.when((common == n) | (common == m), F.greatest(contained, F.lit(0.9))).otherwise(contained)
+    first = F.size(a) <= F.size(b)
+    shorter, longer = F.when(first, left).otherwise(right), F.when(first, right).otherwise(left)
+    phrase = F.when((F.least(F.size(a), F.size(b)) >= 2) & F.contains(longer, shorter), 0.96).otherwise(0.0)
+    score = F.least(F.lit(1.0), F.greatest(sequence_ratios(left, right), phrase, 0.72 * jaccard + 0.28 * contained))
     return F.when((left == "") | (right == ""), 0.0).when(left == right, 1.0).otherwise(score)
 
 
 def meaningful(left: Column, right: Column) -> Column:
-    """Whether the names share a telling word, or one's telling words hold the other's run together."""
+    """Whether the names share a telling word."""
     telling = lambda x: F.filter(F.split(x, " "), lambda t: (F.length(t) >= 3) & ~t.isin(V.GENERIC_NAME_TOKENS))
-    a, b = telling(left), telling(right)
-    joined = lambda x: F.array_join(x, "")
-    held = (F.size(a) > 0) & (F.size(b) > 0) & (F.contains(joined(a), joined(b)) | F.contains(joined(b), joined(a)))
-    return F.coalesce(F.arrays_overlap(a, b), F.lit(False)) | held
+    return F.coalesce(F.arrays_overlap(telling(left), telling(right)), F.lit(False))
 
 
 def postcode_root(c) -> Column:

@@ -65,6 +65,56 @@ SELECT concat('p', CAST(o_custkey AS VARCHAR(20))) AS place_id,
   CASE WHEN o_custkey % 31 = 0 THEN 'error' WHEN max(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) = 1 THEN 'completed' ELSE 'no_email' END AS status,
   count(*) AS emails_found_count, max(o_orderdate) AS processed_at
 FROM {orders} WHERE o_custkey % 10 <> 1 GROUP BY o_custkey""",
+    # awkward values as pages and profiles have them: # stands for the key, ~ for an apostrophe
+    "raw_addresses": """
+SELECT c_custkey AS id, CASE WHEN v.x <> 'none' THEN replace(v.x, '#', CAST(c_custkey AS VARCHAR(20))) END AS raw FROM {customer} JOIN (VALUES
+  (0, '# Main St, Austin, TX 78701, USA'), (1, '# Main St, Suite 4, Round Rock, tx 78664-1234'), (2, '# NW Elm St, Portland'), (3, '  # Oak Ave , Reno, nv 89501, United States '),
+  (4, 'Lone Star Rd'), (5, ''), (6, 'none'), (7, '12 Indiana Ave, Springfield, IL, 6270'), (8, ',, 5 Pine St,, Bend, OR,'), (9, '90210 Hill Rd, Beverly Hills, CA 90211, US'), (10, 'Me and Co, Bangor ME')
+) v(i, x) ON c_custkey % 11 = v.i""",
+    "raw_phones": """
+SELECT c_custkey AS id, CASE WHEN v.x <> 'none' THEN replace(v.x, '#', lpad(CAST(c_custkey % 10000 AS VARCHAR(20)), 4, '0')) END AS raw FROM {customer} JOIN (VALUES
+  (0, '(512) 555-#'), (1, '+1 512.555.#'), (2, 'Call (512) 555-# ext 9'), (3, '512555#'), (4, ' 555-# '), (5, ''), (6, 'none'), (7, '1-512-555-#x'), (8, '+44 20 7946 #'), (9, 'tel:512 555# / 512 556#')
+) v(i, x) ON c_custkey % 10 = v.i""",
+    "raw_emails": """
+SELECT c_custkey AS id, CASE WHEN v.x <> 'none' THEN replace(replace(v.x, '#', CAST(c_custkey AS VARCHAR(20))), '~', chr(39)) END AS raw FROM {customer} JOIN (VALUES
+  (0, 'Info@Acme#.IO'), (1, 'o~brien#@acme.io'), (2, 'a&b@acme#.io'), (3, ' <sales+west@shop#.photography>, '), (4, 'a@acme.co'), (5, 'no-reply@acme#.co'), (6, 'noreply+x@acme#.co'), (7, 'logo#@2x.png'),
+  (8, 'x@mail.yelp.com'), (9, 'two@at@acme.co'), (10, 'dots..in#@acme.co'), (11, '.lead@acme.co.'), (12, 'x@-bad.co'), (13, 'x@acme.123'), (14, 'x@nodot'), (15, 'none'), (16, ''), (17, 'testimonials#@acme.co'), (18, 'x@acme.co;y')
+) v(i, x) ON c_custkey % 19 = v.i""",
+    "raw_websites": """
+SELECT c_custkey AS id, CASE WHEN v.x <> 'none' THEN replace(v.x, '#', CAST(c_custkey AS VARCHAR(20))) END AS raw FROM {customer} JOIN (VALUES
+  (0, 'https://www.shop#.example.net/a?b=c'), (1, 'm.facebook.com/shop#'), (2, 'HTTP://X.com/y'), (3, 'https://www.google.com/url?sa=t&q=https://shop#.example.net/&u=1'), (4, 'https://www.google.com/url?q=100%zz'),
+  (5, 'shop#.business.site'), (6, 'http://stores.walmart.com:8080/#'), (7, ' N/A '), (8, 'undefined'), (9, ''), (10, 'none'), (11, 'http://linktr.ee/shop'), (12, 'https://notfacebook.com'), (13, 'https://Shop.WixSite.com/x'),
+  (14, 'https:///path'), (15, 'https://x.com'), (16, 'https://www.google.com/url?sa=t'), (17, 'negocio.site')
+) v(i, x) ON c_custkey % 18 = v.i""",
+    "raw_profiles": """
+SELECT c_custkey AS id, CASE WHEN v.x <> 'none' THEN replace(v.x, '#', CAST(c_custkey AS VARCHAR(20))) END AS raw FROM {customer} JOIN (VALUES
+  (0, '10000#'), (1, '@shop.#'), (2, 'https://m.facebook.com/shop#/?ref=x'), (3, 'facebook.com/groups/#'), (4, 'https://www.facebook.com/profile.php?v=1&id=9#'), (5, 'https://facebook.com/profile.php?id=x'),
+  (6, 'https://www.facebook.com/pages/Shop/9#'), (7, 'https://example.org/shop#'), (8, 'https://web.facebook.com/pg/shop#/about'), (9, ' '), (10, 'none'), (11, 'https://facebook.com/'), (12, '//business.facebook.com/a'), (13, 'https://facebook.com/Events/#')
+) v(i, x) ON c_custkey % 14 = v.i""",
+    "raw_documents": """
+SELECT event_id AS id, CAST(ts AS TIMESTAMP) AS checked, v.url AS final_url, v.status AS http_status, replace(replace(v.doc, '~', chr(39)), '#', CAST(event_id % 100000 AS VARCHAR(20))) AS document FROM {events} JOIN (VALUES
+  (0, 'https://www.facebook.com/shop', 200, '"creation_time":1300000000,"publish_time":1300000100000,"creation_time":9999999999'), (1, 'https://www.facebook.com/shop', 200, 'Too Many Requests'),
+  (2, 'https://facebook.com/shop', 200, 'please CONFIRM you~re human'), (3, 'https://www.facebook.com/shop', 200, 'This content isn~t available #'), (4, 'https://facebook.com.example.org/x', 200, 'x'),
+  (5, 'https://m.facebook.com/login/?next=x', 200, '"creation_time":1300000000'), (6, 'https://m.facebook.com/x', 404, 'too many requests'), (7, 'https://m.facebook.com/x', 429, ''), (8, 'https://m.facebook.com/Checkpoint/1', 500, ''),
+  (9, 'https://m.facebook.com/x', 503, ''), (10, 'https://m.facebook.com/x', 403, '"creation_time":1300000000'), (11, 'https://FACEBOOK.com:443/login', 200, ''), (12, 'https://www.facebook.com/shop', 200, '&quot;creation_timestamp&quot; : &quot;1300000000123&quot; "publish_time":12345678, "publish_time":999999999'),
+  (13, 'https://www.facebook.com/loginhelp', 200, 'plain #'), (14, 'https://www.facebook.com/shop', 200, 'a long document that is over the limit ........................................................................................')
+) v(i, url, status, doc) ON event_id % 15 = v.i""",
+    # addresses found beside businesses; the last column is what the rule says of the case
+    "found_addresses": """
+SELECT c_custkey AS id, v.* FROM {customer} JOIN (VALUES
+  (0, 'jo.smith@gmail.com', 'Zenith Roofing', 'Roofer', '512-555-0100', 'Austin', 'Call 512-555-0100 or jo.smith@gmail.com', 'Zenith Roofing, Austin', 'https://list.test/z', true, false, true),
+  (1, 'jo.smith@gmail.com', 'Zenith Roofing', 'Roofer', '512-555-0100', 'Austin', 'Call 512-555-0100 or jo.smith@gmail.com', 'Puppies for sale', 'https://list.test/z', true, false, false),
+  (2, 'help@list.test', 'Zenith Roofing', 'Roofer', '512-555-0100', 'Austin', 'Zenith Roofing 512-555-0100', '', 'https://www.list.test/z', true, false, false),
+  (3, 'hello@tacotruck.test', 'Al Taco Truck', 'Taco truck', '', '', '', 'Al Taco Truck', 'https://tacotruck.test/', true, false, false),
+  (4, 'hello@silverpineroofing.test', 'Silver Pine Roofing', 'Roofing contractor', '', '', '', 'Silver Pine Roofing contact', 'https://silverpineroofing.test/c', true, false, true),
+  (5, 'info@grandvalet.test', 'Valet', 'Dry cleaner', '', '', '', 'Grand Valet', 'https://grandvalet.test/', true, false, false),
+  (6, 'hi@cafelumo.test', 'Lumo', 'Cleaners', '', 'Dover', '', 'Cafe Lumo coffee', 'https://cafelumo.test/', true, false, false),
+  (7, 'hi@lumo.test', 'Lumo', 'Cleaners', '', 'Dover', '', 'Lumo cleaning in Dover', 'https://lumo.test/', true, false, true),
+  (8, 'zenithroofing@proton.me', 'Zenith Roofing', 'Roofer', '', 'Austin', '', 'Zenith Roofing in Austin', 'https://list.test/z', true, false, true),
+  (9, 'zenithroofing@proton.me', 'Zenith Roofing', 'Roofer', '512-555-0100', 'Austin', 'Zenith Roofing, Trinity', 'Zenith Roofing LLC', 'https://list.test/z', false, true, false),
+  (10, 'annlee@bigbank.test', 'Ann Lee CPA', 'Accountant', '512-555-0100', 'Dover', 'Ann Lee CPA 512-555-0100', 'Ann Lee CPA in Dover', 'https://list.test/a', false, true, false),
+  (11, 'book.move4u@gmail.com', 'Move4U Towing', 'Towing service', '', 'Dover', '', 'Move4U Towing in Dover', 'https://list.test/m', false, true, true)
+) v(i, email, name, category, phone, city, near, result, url, by_phone, local_only, owned) ON c_custkey % 12 = v.i""",
     # an all-text registry file
     "registry": """
 SELECT CAST(s_suppkey + 7000000 AS VARCHAR(20)) AS dot_number, concat('Shop ', CAST(3 * s_suppkey AS VARCHAR(20)), ' LLC') AS legal_name,

@@ -149,13 +149,13 @@ def source_match_candidates(spark, sf_dir):
 
 @query(MATCHES + "SELECT * FROM best")
 def best_source_match(spark, sf_dir):
-    return match.best_match(match.source_matches(_source(spark, sf_dir, "b"), _source(spark, sf_dir, "a")))
+    return match.best_match(match.source_matches(_source(spark, sf_dir, "b"), _source(spark, sf_dir, "a"), best_only=True))
 
 
 @query(MATCHES + "SELECT place_id, name_key FROM l WHERE NOT EXISTS (SELECT 1 FROM best WHERE left_id = place_id)")
 def unmatched_source_leads(spark, sf_dir):
     left = _source(spark, sf_dir, "b")
-    best = match.source_matches(left, _source(spark, sf_dir, "a")).select(F.col("left_id").alias("place_id")).distinct()
+    best = match.source_matches(left, _source(spark, sf_dir, "a"), best_only=True).select(F.col("left_id").alias("place_id")).distinct()
     return match.keyed(left).join(best, "place_id", "left_anti").select("place_id", "name_key")
 
 
@@ -165,7 +165,7 @@ def unmatched_source_leads(spark, sf_dir):
 def membership(ent: DataFrame) -> DataFrame:
     """(entity_id, source, place_id, match_method): places of the second source attach to their best match, others stand alone."""
     a, b = ent.filter("source = 'a'"), ent.filter("source = 'b'")
-    best = match.best_match(match.source_matches(b, a)).select(F.col("left_id").alias("place_id"), "right_id", "match_method")
+    best = match.best_match(match.source_matches(b, a, best_only=True)).select(F.col("left_id").alias("place_id"), "right_id", "match_method")
     parents = a.select(F.col("place_id").alias("right_id"), F.col("entity_id").alias("parent"))
     joined = ent.join(best.join(parents, "right_id"), "place_id", "left")
     return joined.select(F.coalesce("parent", "entity_id").alias("entity_id"), "source", "place_id", "match_method")
@@ -299,8 +299,13 @@ def registry_matches(reg: DataFrame, ent: DataFrame) -> DataFrame:
     )
     named = ((F.col("name_key") == F.col("legal_key")) | (F.col("name_key") == F.col("dba_key"))) & (F.col("name_key") != "")
     zipped = (F.col("zip5") == F.col("r_zip")) & (F.col("zip5") != "")
-    arm = lambda rows, on, e: rows.select("dot_number", "entity_id", F.lit(e).alias("e"), F.lit(not e).alias("p"), named.alias("n"), zipped.alias("z"))
-    both = arm(r.join(k, r["r_email"] == k["email_key"]), "email", True).unionByName(arm(r.join(k, r["r_phone"] == k["phone_key"]), "phone", False))
+    called = F.coalesce(F.col("r_phone") == F.col("phone_key"), F.lit(False))
+    by_mail = r.join(k, r["r_email"] == k["email_key"]).select("dot_number", "entity_id", F.lit(True).alias("e"), called.alias("p"), named.alias("n"), zipped.alias("z"))
+    # a phone alone scores nothing, so phones meet together with the zip and a name: a shared phone makes no pairs
+    by_name = lambda name: r.join(k, (r["r_phone"] == k["phone_key"]) & (r["r_zip"] == k["zip5"]) & (r[name] == k["name_key"])).filter(named & zipped)
+    both = by_mail
+    for name in ("legal_key", "dba_key"):
+        both = both.unionByName(by_name(name).select("dot_number", "entity_id", F.lit(False).alias("e"), *[F.lit(True).alias(c) for c in "pnz"]))
     flags = both.groupBy("dot_number", "entity_id").agg(*[F.bool_or(c).alias(c) for c in "epnz"])
     e, p, n, z = (F.col(c) for c in "epnz")
     scored = flags.withColumn("score", F.when(e & p, 100).when(e & n, 80).when(p & n & z, 70)).filter("score IS NOT NULL")
