@@ -32,6 +32,8 @@ from .common import forget, map_texts, materialise
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 SEED, WIDTH, BITS = 42, 3, 2
+#: Two nodes of a trie with so many pairs of fingerprints, at most, are compared as leaves.
+LEAF = 4096
 #: Groups of more distinct fingerprints are dealt again by further bits.
 GROUP_MOST = 2048
 #: Bits of a fingerprint by level: three blocks at each, so that two flips leave one whole.
@@ -87,10 +89,26 @@ def fingerprints(docs: DataFrame, keep: list[str], text: str = "text") -> DataFr
 # ---- the trie self-join of one group, in numpy
 
 
+def _compared(fps: np.ndarray, pairs: np.ndarray, budget: int):
+    """The index pairs i < j between the ranges of node pairs that differ in at most budget bits."""
+    size = (pairs[:, 1] - pairs[:, 0]) * (pairs[:, 3] - pairs[:, 2])
+    part = np.cumsum(size) // 1_000_000  # some million comparisons at once
+    for at in np.split(np.arange(len(pairs)), np.flatnonzero(np.diff(part)) + 1):
+        a0, _, b0, b1, _ = pairs[at].T
+        n = size[at]
+        k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        width = np.repeat(b1 - b0, n)
+        i, j = np.repeat(a0, n) + k // width, np.repeat(b0, n) + k % width
+        near = (np.bitwise_count(fps[i] ^ fps[j]) <= budget) & (i < j)
+        if near.any():
+            yield np.stack([i[near], j[near]], 1)
+
+
 def trie_pairs(fps: np.ndarray, budget: int = BITS):
     """For sorted distinct uint64 fingerprints, arrays of index pairs that differ in at most budget bits.
 
-    The trie's nodes are ranges of the sorted array that share a prefix.
+    The trie's nodes are ranges of the sorted array that share a prefix; nodes
+    with few fingerprints are leaves, whose fingerprints are compared directly.
     """
     # a stack of blocks of node pairs (a range, b range, bit reached, differing bits); a == b: a node with itself
     stack = [(np.array([[0, len(fps), 0, len(fps), 0]]), 63)]
@@ -101,17 +119,12 @@ def trie_pairs(fps: np.ndarray, budget: int = BITS):
             stack += [(pairs[:half], bit), (pairs[half:], bit)]
             continue
         a0, a1, b0, b1, d = pairs.T
-        single = (a1 - a0 == 1) & (b1 - b0 == 1)
-        if bit < 0 or single.any():
-            if bit < 0:
-                single[:] = True
-            leaf = pairs[single & (a0 != b0)]
-            if len(leaf):
-                far = np.bitwise_count(fps[leaf[:, 0]] ^ fps[leaf[:, 2]])
-                near = leaf[far <= budget][:, [0, 2]]
-                if len(near):
-                    yield near
-            pairs = pairs[~single]
+        few = (a1 - a0) * (b1 - b0) <= LEAF
+        if bit < 0:
+            few[:] = True
+        if few.any():
+            yield from _compared(fps, pairs[few], budget)
+            pairs = pairs[~few]
             if not len(pairs):
                 continue
             a0, a1, b0, b1, d = pairs.T

@@ -46,6 +46,8 @@ BUDGET, HALF = 40, 28
 SAMPLE, FREQUENT, FREQUENT_MOST = 10_000, 2, 500_000
 #: Texts of one group, and of one centre, that a task compares at once.
 GROUP_MOST = 1024
+#: Sets that a task remembers between groups.
+SETS_KEPT = 10_000
 
 
 def prefix(shingles: np.ndarray, frequent: np.ndarray, similarity: float) -> np.ndarray:
@@ -237,9 +239,15 @@ def _linker(width: int, similarity: float):
 
     def run(batches):
         unpack = zstandard.ZstdDecompressor().decompress
+        known: dict[int, np.ndarray] = {}
         for _, part, cols in _groups(batches, 6):
             minor, node, root = (cols[k].to_numpy() for k in range(3))
-            sets = [np.unique(shingle_hashes(unpack(x), width)) for x in cols[3].to_pylist()]
+            if len(known) > SETS_KEPT:
+                known.clear()
+            for x, packed in zip(node.tolist(), cols[3].to_pylist()):
+                if x not in known:
+                    known[x] = np.unique(shingle_hashes(unpack(packed), width))
+            sets = [known[x] for x in node.tolist()]
             found = list(joined_sets(sets, root, minor, part, similarity))
             if found:
                 a, b = node[np.array(found).T]
