@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import diagnostics, presence, queues, warehouse
+from . import diagnostics, presence, queues, records, warehouse
 from .registry import Query
 
-MODULES = [warehouse, diagnostics, presence, queues]
+MODULES = [warehouse, diagnostics, presence, queues, records]
 
 
 def queries() -> dict[str, Query]:
