@@ -52,11 +52,16 @@ def forget(*tables: DataFrame) -> None:
             _delete(df.sparkSession, path)
 
 
-def clear(spark: SparkSession, *keep: DataFrame) -> None:
-    """Delete every table of this process but those that the frames in keep read.
+def left() -> frozenset[str]:
+    """The tables of this process that are not deleted."""
+    return frozenset(_left)
+
+
+def clear(spark: SparkSession, *keep: DataFrame, since: frozenset[str] = frozenset()) -> None:
+    """Delete every table of this process but those that the frames in keep read and those in since.
 
     An operator deletes its own intermediate tables; the last ones, which its
     result reads, are left until the result is written and this is called.
     """
-    for path in _left - set().union(*map(_paths, keep)):
+    for path in _left - since - set().union(*map(_paths, keep)):
         _delete(spark, path)
