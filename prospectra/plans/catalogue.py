@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import diagnostics, presence, queues, records, warehouse
+from . import captured, diagnostics, presence, queues, records, warehouse
 from .registry import Query
 
-MODULES = [warehouse, diagnostics, presence, queues, records]
+MODULES = [warehouse, diagnostics, presence, queues, records, captured]
 
 
 def queries() -> dict[str, Query]:

@@ -126,6 +126,30 @@ SELECT CAST(s_suppkey + 7000000 AS VARCHAR(20)) AS dot_number, concat('Shop ', C
   CASE WHEN s_suppkey % 6 = 0 THEN '' WHEN s_suppkey % 2 = 0 THEN 'Y' ELSE 'N' END AS hm_flag,
   CASE WHEN s_suppkey % 8 = 0 THEN '' ELSE concat(lpad(CAST(1 + s_suppkey % 28 AS VARCHAR(20)), 2, '0'), '-', CASE s_suppkey % 4 WHEN 0 THEN 'JAN' WHEN 1 THEN 'MAY' WHEN 2 THEN 'OCT' ELSE 'DEC' END, '-', lpad(CAST(s_suppkey % 100 AS VARCHAR(20)), 2, '0')) END AS add_date
 FROM {supplier}""",
+    # captured answers of fetches, searches, pages, mails and reviews: # is the key, ~ an apostrophe, ^ a line feed, none a null
+    "captures": """
+SELECT c_custkey AS id, nullif(replace(v.url, '#', CAST(c_custkey AS VARCHAR(20))), 'none') AS url, v.code, nullif(v.error, 'none') AS error, nullif(v.href, 'none') AS href,
+  nullif(replace(replace(v.page, '~', chr(39)), '#', CAST(c_custkey AS VARCHAR(20))), 'none') AS page, nullif(replace(v.mail, '^', chr(10)), 'none') AS mail, v.price, nullif(v.payload, 'none') AS payload
+FROM {customer} JOIN (VALUES
+  (0, 'https://shop#.test/a', 200, 'none', 'https://www.bing.com/ck/a?p=1&u=a1aHR0cHM6Ly9hY21lLnRlc3QvYQ&ntb=1', '<meta property="og:description" content="Shop #. 1,234 likes, 12 talking about this, 56 were here. Coffee shop">', '<p>Hi</p><script>x<b</script>Yes, 50%25 + more&nbsp;now', '$ 1,200', '[null,null,[[[0,[0,0,0,"1700000000123456",0,0,"2 days ago"]]]],0,0,true]'),
+  (1, 'http://Localhost:80/#', 200, 'none', 'https://shop.test/?u=a1x', '<META name=x property=~og:description~ content=~1 like. Open 24 hours~>', 'Thanks!^> old^Fine.^On Mon 1 May someone wrote:^> ask', '12.50', '[null,null,[[[0,[0,0,0,1700000000000000,0,0,7]]]]]'),
+  (2, 'https://u:p@printer.local/', 200, 'none', 'https://www.bing.com/ck/a?u=a1A', '<meta property="og:title" content="x">', 'Ok^----- Original Message^old', 'from $20', '[null,null,[]]'),
+  (3, 'ftp://shop#.test', 200, 'none', 'none', 'none', 'none', '', 'broken ['),
+  (4, 'https://shop#.test', 404, 'none', 'https://www.bing.com/ck/a?u=b1aHR0', '<meta property="og:description" content="no full stop">', '<style>p</style>a<br/>b<BR>^^^^c</div>', ' 7 ', 'none'),
+  (5, 'https://shop#.test', 0, 'ReadTimeout: timed out', '', '<meta property="og:description" content=". ">', '', '12.345', '[null,null,[[[0,[0,0,0,"soon",0,0,null]]]],0,0,false]'),
+  (6, 'https://shop#.test', 0, 'SSLError certificate', 'https://www.bing.com/ck/a?u=a1aHR0cHM6Ly9hLmIvP3g9MQ', 'plain', 'From: a^Sent: b', '99999999999', '[null,null,[[[0,[0,0,0,-5,0,0,"now"]]]],0,0,true]'),
+  (7, 'https://shop#.test', 0, 'too many Redirects', 'x', 'x', 'x^From: Bo Li^Sent: today^rest', '1', '[]'),
+  (8, 'https://shop#.test', 0, 'connection reset', 'x', 'x', '>all', '1', '[]'), (9, 'none', 0, 'none', 'x', 'x', 'x', 'x', '[]'), (10, 'https:///x', 0, 'none', 'x', 'x', 'x', 'x', '[]'), (11, 'HTTPS://shop#.test', 0, 'none', 'x', 'x', 'x', 'x', '[]')
+) v(i, url, code, error, href, page, mail, price, payload) ON c_custkey % 12 = v.i""",
+    "dns_answers": """
+SELECT s_suppkey AS id, v.ns, v.apex, v.cname, v.www FROM {supplier} JOIN (VALUES
+  (0, 'ns1.x.test', '76.76.21.21|216.150.1.1', '', ''), (1, 'ns1.x.test', '76.76.21.21|1.2.3.4', 'cname.vercel-dns.com', ''), (2, '', '', 'none', 'none'), (3, 'none', 'none', 'none', 'none'),
+  (4, 'ns1.x.test', '44.1.2.3', 'uixie.porkbun.com', '44.1.2.3'), (5, 'none', '216.198.7.7', 'notvercel-dns.com', '216.199.1.1'), (6, '', '', 'a.vercel-dns-016.com', '216.198.7.7')
+) v(i, ns, apex, cname, www) ON s_suppkey % 7 = v.i""",
+    # the files of a dataset's releases
+    "release_files": """
+SELECT CASE WHEN o_orderkey % 10 = 0 THEN concat('release/notes-', CAST(o_orderkey AS VARCHAR(20)), '.md')
+  ELSE concat('release/dt=2026-0', CAST(1 + o_orderkey % 9 AS VARCHAR(20)), '-11/places/places_', CAST(o_orderkey % 100 AS VARCHAR(20)), '.parquet') END AS path, o_orderkey AS bytes FROM {orders}""",
     # lifecycle events of requests
     "request_events": """
 SELECT event_id, user_id AS request_id, ts AS processed_at,

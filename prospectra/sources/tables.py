@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,6 +36,17 @@ def with_file(spark: SparkSession, path: str, pattern: str) -> DataFrame:
     return rows.withColumn("source_file", F.regexp_extract(F.col("_metadata.file_path"), pattern, 0))
 
 
+def latest_release(files: DataFrame, release: str = "latest") -> DataFrame:
+    """(release, path, ...) of the files below the dt= directory asked for, the newest by default."""
+    dated = files.withColumn("release", F.regexp_extract("path", r"dt=([^/]+)", 1)).filter(F.col("release") != "")
+    if release.lower() != "latest":
+        if not re.fullmatch(r"\d{4}-\d{2}-\d{2}", release):
+            raise ValueError("a release is YYYY-MM-DD or latest")
+        return dated.filter(F.col("release") == release)
+    newest = dated.agg(F.max("release").alias("__newest"))  # one row
+    return dated.crossJoin(newest).filter(F.col("release") == F.col("__newest")).drop("__newest")
+
+
 def write_parquet(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
 
