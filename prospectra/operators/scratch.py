@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Paths of the tables that this process wrote and has not deleted.
 _left: set[str] = set()
+#: With it Spark deletes a query's shuffle files when the query ends, not when the driver's collector finds them.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,7 +31,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     shuffles both sides, so adaptive execution can split a hot key.
     """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    conf = df.sparkSession.conf
+    was = conf.get(CLEANUP)
+    conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(CLEANUP, was)
     _left.add(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -18,3 +18,10 @@ def test_components_leave_one_table(spark):
     assert kept.count() == 6
     scratch.clear(spark)
     assert set(os.listdir(root)) == before
+
+
+def test_written_leaves_no_setting(spark):
+    before = spark.conf.get(scratch.CLEANUP)
+    made = scratch.written(spark.range(100).groupBy("id").count(), "t")
+    assert made.count() == 100 and spark.conf.get(scratch.CLEANUP) == before
+    scratch.forget(made)
