@@ -32,7 +32,8 @@ exclusive.
 from __future__ import annotations
 
 import re
-from bisect import bisect_left, bisect_right
+from bisect import bisect_right
+from itertools import islice
 from zlib import crc32
 
 import numpy as np
@@ -44,49 +45,58 @@ from pyspark.sql import functions as F
 
 from .common import forget, map_texts, materialise, slices
 
-WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 WORD_STR = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 LOWER_STR = {i: i + 32 for i in range(65, 91)}
+SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 LINE_WORDS, PASSAGE, ANCHOR_SPAN = 5, 25, 24
 
 
 def anchors(hashes: np.ndarray, span: int = ANCHOR_SPAN) -> np.ndarray:
-    """Positions that hold the smallest (the last of equals) of span neighbouring hashes."""
-    if len(hashes) < span:
+    """Positions that hold the smallest (the last of equals) of span neighbouring 32-bit hashes."""
+    n = len(hashes)
+    if n < span:
         return np.empty(0, np.int64)
-    key = hashes.astype(np.int64) << 20
-    n = len(key)
-    # equal hashes: the later position wins, whatever comes before the window
-    window = np.lib.stride_tricks.sliding_window_view(key, span)
-    return np.unique(np.arange(n - span + 1) + span - 1 - window[:, ::-1].argmin(1))
+    # hash and place from the end in one number, so of equal hashes the later position is the smaller
+    key = (hashes.astype(np.uint64) << np.uint64(32)) | np.arange(n, 0, -1, dtype=np.uint64)
+    size = 1
+    while 2 * size <= span:
+        key = np.minimum(key[:-size], key[size:])
+        size *= 2
+    if size < span:
+        key = np.minimum(key[: len(key) - (span - size)], key[span - size :])
+    at = n - (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    return at[np.concatenate(([True], at[1:] != at[:-1]))]
 
 
 def text_units(text: bytes, line_words: int = LINE_WORDS, passage: int = PASSAGE, span: int = ANCHOR_SPAN):
-    """(digest, start, end) of a text's units; offsets in bytes.  Digests of windows are odd, the others even."""
-    low = text.translate(LOWER)
-    at = np.array([m.span() for m in WORD.finditer(low)], np.int64).reshape(-1, 2)
-    if not len(at):
-        return []
-    words = [low[a:b] for a, b in at.tolist()]
+    """Arrays hi, lo (a unit's digest), start, end of a text's units; offsets in bytes.  Digests of windows are odd, the others even."""
+    words = text.translate(LOWER).split()  # bytes split at exactly the white space of WORD
+    n = len(words)
+    if not n:
+        return np.empty((2, 0), np.uint64), np.empty((2, 0), np.int64)
     line = b" ".join(words)  # the normalised text; word i starts at begin[i]
-    size = at[:, 1] - at[:, 0]
-    begin = np.concatenate(([0], np.cumsum(size + 1)))
-    digest = xxhash.xxh3_128_intdigest
-    out = [(digest(line) & ~1, int(at[0, 0]), int(at[-1, 1]))]
+    raw = np.frombuffer(b" %b " % text, np.uint8)
+    blank = SPACE[raw]
+    edges = np.flatnonzero(blank[1:] != blank[:-1])
+    first, last = edges[::2], edges[1::2]
+    begin = np.concatenate(([0], np.cumsum(last - first + 1)))
     # lines: runs of words without a line feed between them
-    breaks = np.flatnonzero(np.frombuffer(text, np.uint8) == 10)
-    starts = np.unique(np.concatenate(([0], np.searchsorted(at[:, 0], breaks))))
-    starts = starts[starts < len(at)]
-    for i, j in zip(starts.tolist(), [*starts[1:].tolist(), len(at)]):
-        if j - i >= line_words and (i or j < len(at)):
-            out.append((digest(line[begin[i] : begin[j] - 1]) & ~1, int(at[i, 0]), int(at[j - 1, 1])))
-    if len(at) > passage:
-        for i in anchors(np.fromiter(map(crc32, words), np.int64, len(words)), span).tolist():
-            j = i + passage
-            if j <= len(at):
-                out.append((digest(line[begin[i] : begin[j] - 1]) | 1, int(at[i, 0]), int(at[j - 1, 1])))
-    return out
+    starts = np.unique(np.concatenate(([0], np.searchsorted(first, np.flatnonzero(raw == 10) - 1), [n])))
+    i, j = starts[:-1], starts[1:]
+    long = (j - i >= line_words) & (j - i < n)
+    i, j = np.concatenate(([0], i[long])), np.concatenate(([n], j[long]))
+    lines = len(i)
+    if n > passage:
+        at = anchors(np.fromiter(map(crc32, words), np.int64, n), span)
+        at = at[at + passage <= n]
+        i, j = np.concatenate((i, at)), np.concatenate((j, at + passage))
+    digest = xxhash.xxh3_128_digest
+    made = b"".join([digest(line[a:b]) for a, b in zip(begin[i].tolist(), (begin[j] - 1).tolist())])
+    hi, lo = np.frombuffer(made, ">u8").reshape(-1, 2).T.astype(np.uint64)
+    lo &= ~np.uint64(1)
+    lo[lines:] |= np.uint64(1)
+    return np.stack([hi, lo]), np.stack([first[i], last[j - 1]])
 
 
 def rows_of(docs: DataFrame, id_col: str, text: str) -> DataFrame:
@@ -104,29 +114,27 @@ def units(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFr
         pack = zstandard.ZstdCompressor(level=1).compress
 
         def work(texts):
-            rows, hi, lo, a, b = [], [], [], [], []
+            rows, digests, places = [np.empty(0, np.int64)], [np.empty((2, 0), np.uint64)], [np.empty((2, 0), np.int64)]
             for k, t in enumerate(texts):
-                found = text_units(t) if t else []
-                if not found:
+                if not t:
                     continue
-                places = np.array([f[1:] for f in found], np.int64)
+                digest, place = text_units(t)
                 if not t.isascii():
                     points = np.concatenate(([0], np.cumsum((np.frombuffer(t, np.uint8) & 0xC0) != 0x80)))
-                    places = points[places]
-                rows += [k] * len(found)
-                hi += [f[0] >> 64 for f in found]
-                lo += [f[0] & 0xFFFFFFFFFFFFFFFF for f in found]
-                a.append(places[:, 0])
-                b.append(places[:, 1])
+                    place = points[place]
+                rows.append(np.full(digest.shape[1], k))
+                digests.append(digest)
+                places.append(place)
+            rows = np.concatenate(rows)
+            hi, lo = np.concatenate(digests, 1).view(np.int64)
+            a, b = np.concatenate(places, 1)
             n = len(texts)
             none = lambda kind: pa.nulls(n, kind)
-            flat = lambda x: pa.array(np.concatenate(x) if x else np.empty(0, np.int64), pa.int32(), safe=False)
-            signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
             both = lambda x, kind: pa.concat_arrays([x, none(kind)])
             packed = pa.concat_arrays([pa.nulls(len(rows), pa.binary()), pa.array([None if t is None else pack(t) for t in texts], pa.binary())])
             return {
-                "": rows + list(range(n)), "hi": both(signed(hi), pa.int64()), "lo": both(signed(lo), pa.int64()),
-                "start": both(flat(a), pa.int32()), "stop": both(flat(b), pa.int32()), "packed": packed,
+                "": np.concatenate((rows, np.arange(n))), "hi": both(pa.array(hi), pa.int64()), "lo": both(pa.array(lo), pa.int64()),
+                "start": both(pa.array(a, pa.int32()), pa.int32()), "stop": both(pa.array(b, pa.int32()), pa.int32()), "packed": packed,
             }
 
         return work
@@ -200,40 +208,45 @@ def _rows(df: DataFrame, column: str, schema: str, work) -> DataFrame:
     return df.select("id", "row", column).mapInArrow(run, f"id {kind}, row long, {schema}")
 
 
+def words_before(text: str, place: int, words: int = ANCHOR_SPAN) -> list[tuple[int, int]]:
+    """The last words before a place, as spans in order; only the text close to it is read."""
+    reach = 16 * words
+    while True:
+        low = max(0, place - reach)
+        found = [m.span() for m in WORD_STR.finditer(text, low, place)]
+        if not low or len(found) > words:  # the first word of a part may be cut
+            return found[-words:]
+        reach *= 4
+
+
+def words_after(text: str, place: int, words: int = ANCHOR_SPAN) -> list[tuple[int, int]]:
+    """The first words from a place on, as spans in order."""
+    return [m.span() for m in islice(WORD_STR.finditer(text, place), words)]
+
+
 def context(text: str, asks: list[tuple[int, int]], words: int = ANCHOR_SPAN) -> list[str]:
     """The words, lower-cased, before the place (side 0) or from the place on (side 1), one string for each ask."""
-    at = [m.span() for m in WORD_STR.finditer(text)]
-    starts = [a for a, _ in at]
-    out = []
-    for place, side in asks:
-        i = bisect_left(starts, place)
-        near = at[max(0, i - words) : i] if side == 0 else at[i : i + words]
-        out.append(" ".join(text[a:b] for a, b in near).translate(LOWER_STR))
-    return out
+    near = (words_after(text, place, words) if side else words_before(text, place, words) for place, side in asks)
+    return [" ".join([text[a:b] for a, b in spans]).translate(LOWER_STR) for spans in near]
 
 
 def grown(text: str, cuts: list[dict]) -> list[list[int]]:
     """The spans to remove: lines as they are, runs of windows grown to the ends of the equal run, all merged."""
-    at = [m.span() for m in WORD_STR.finditer(text)] if any(c["near"] is not None for c in cuts) else []
-    starts = [a for a, _ in at]
-    word = lambda i: text[at[i][0] : at[i][1]].translate(LOWER_STR)
+    word = lambda span: text[span[0] : span[1]].translate(LOWER_STR)
     spans = []
     for c in cuts:
         a, b = c["start"], c["stop"]
         near = c["near"].split(" ") if c["near"] else []
-        if c["side"] == 0:
-            i = bisect_left(starts, a)
-            while near and i and word(i - 1) == near[-1]:
-                near.pop()
-                i -= 1
-                a = at[i][0]
-        elif c["side"] == 1:
-            i = bisect_left(starts, b)
-            for w in near:
-                if i == len(at) or word(i) != w:
+        if c["side"] == 0 and near:
+            for own, other in zip(reversed(words_before(text, a)), reversed(near)):
+                if word(own) != other:
+                    break
+                a = own[0]
+        elif c["side"] == 1 and near:
+            for own, other in zip(words_after(text, b), near):
+                if word(own) != other:
                     break
-                b = at[i][1]
-                i += 1
+                b = own[1]
         spans.append([a, b])
     out: list[list[int]] = []
     for a, b in sorted(spans):
