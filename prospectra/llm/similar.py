@@ -266,6 +266,7 @@ def _rest(members: DataFrame, roots: DataFrame, nodes: DataFrame, rows: DataFram
     mixed = groups.filter("x <> y").groupBy("m", "s", "t").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("m") / GROUP_MOST).cast("int").alias("parts"))
     mixed = materialise(placed.join(mixed, "key"), "similar-mixed")
     sizes = mixed.groupBy("key", "root").count().groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("most"))
+    sizes = materialise(sizes, "similar-sizes")  # written, so that the join deals a hot group anew
     own = F.array(F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     everywhere = F.sequence(F.lit(0), F.col("parts") - 1)
     dealt = mixed.join(sizes, "key").withColumn("minor", (F.col("root") != F.col("most")).cast("int"))
@@ -276,7 +277,7 @@ def _rest(members: DataFrame, roots: DataFrame, nodes: DataFrame, rows: DataFram
     texts = materialise(rows.select("rid", "packed").join(asked, "rid").select("node", "packed"), "similar-texts")
     given = hopeful.join(texts, "node").select("key", "part", "minor", "node", "root", "packed").repartition("key", "part").sortWithinPartitions("key", "part")
     links = materialise(given.mapInArrow(_linker(width, similarity), "a long, b long"), "similar-links")
-    forget(mixed, hopeful, texts)
+    forget(mixed, sizes, hopeful, texts)
     return links
 
 
@@ -289,7 +290,9 @@ def classes(docs: DataFrame, id_col: str, text: str, width: int = WIDTH, similar
     nodes = materialise(rows.select("rid", "node", "n", "fp", "gp", "keys").join(one, "rid", "left_semi"), "similar-nodes")
     dealt = nodes.select("node", F.explode("keys").alias("key"))
     groups = dealt.groupBy("key").agg(F.count("*").alias("m"), F.min("node").alias("least")).filter("m > 1").select("key", "least")
+    groups = materialise(groups, "similar-groups")  # as in _rest
     starred = materialise(dealt.join(groups, "key"), "similar-starred")
+    forget(groups)
     first = starred.filter("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
     first = materialise(_possible(first, nodes, similarity), "similar-first")
     links = _confirmed(first, nodes, rows, width, similarity)
