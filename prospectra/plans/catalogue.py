@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import captured, diagnostics, presence, queues, records, warehouse
+from . import captured, diagnostics, presence, queues, records, upkeep, warehouse
 from .registry import Query
 
-MODULES = [warehouse, diagnostics, presence, queues, records, captured]
+MODULES = [warehouse, diagnostics, presence, queues, records, captured, upkeep]
 
 
 def queries() -> dict[str, Query]:
