@@ -23,6 +23,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from collections import Counter
 from zlib import crc32
 
 import numpy as np
@@ -39,7 +40,8 @@ STEPS, BATCH, RATE = 140, 24, 0.02
 #: Blocks that the labeller reads at once, over all pages of a batch.
 BLOCKS = 4096
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
+NAME = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+STOP = re.compile(r"[>\"']")
 NAMES = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 #: Elements that never end a block, that hold no text, and whose content is not text.
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -53,6 +55,59 @@ CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "opt
 GOOD, BAD = {"article", "main"}, set("nav header footer aside form button select ad ads advert sidebar menu banner cookie notice comments comment promo title head".split())
 
 
+class Tags:
+    """The tags, comments and declarations of a page, in order and in linear time.
+
+    A tag ends at the first > outside quotes; where there is none, its < is
+    text.  A quote that leads to no end is remembered, as is the next stop, so
+    no stretch is read twice for tags that begin before it.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.last = page, {c: page.rfind(c) for c in ">\"'"}
+        self.dead: set[int] = set()
+        self.stop = -1
+
+    def end(self, at: int) -> int:
+        """The place after the > that ends a tag whose attributes begin at a place; -1 if none does."""
+        page, opened = self.page, []
+        while at <= self.last[">"]:
+            if self.stop < at:
+                self.stop = STOP.search(page, at).start()  # one comes, as a > does
+            stop = self.stop
+            if page[stop] == ">":
+                return stop + 1
+            if stop in self.dead or self.last[page[stop]] == stop:
+                opened.append(stop)
+                break
+            opened.append(stop)
+            at = page.find(page[stop], stop + 1) + 1
+        self.dead.update(opened)
+        self.stop = -1 if opened else self.stop
+        return -1
+
+    def after(self, at: int) -> tuple[int, int, str, str, str] | None:
+        """(start, end, slash, name, attributes) of the first from a place on; comments and declarations have no name."""
+        page = self.page
+        while (start := page.find("<", at)) >= 0:
+            if page.startswith("<!--", start):
+                end = page.find("-->", start + 4)
+                return start, end + 3 if end >= 0 else len(page), "", "", ""
+            if start > self.last[">"]:  # only a comment can follow
+                at = page.find("<!--", start)
+                if at < 0:
+                    return None
+                continue
+            if page[start + 1] in "!?":
+                return start, page.find(">", start) + 1, "", "", ""
+            m = NAME.match(page, start)
+            end = self.end(m.end()) if m else -1
+            if end >= 0:
+                return start, end, m[1], m[2].lower(), page[m.end() : end - 1]
+            at = start + 1
+        return None
+
+
 class Block:
     """path: the hashed marks of all elements above, as bits; role: 1 if one names content, 2 if one names something else."""
 
@@ -66,9 +121,12 @@ def blocks(page: str) -> list[Block]:
     """The page's leaf blocks in order."""
     out: list[Block] = []
     stack: list[tuple[str, int, int]] = []  # the open elements, each with the path and role of what it holds
+    open_ = Counter()
     parts: list[str] = []
-    links = in_link = at = 0
+    links = at = 0
+    link = None  # how many elements were open where a link that is still open began
     skip = ""
+    tags = Tags(page)
 
     def flush():
         nonlocal parts, links
@@ -78,57 +136,62 @@ def blocks(page: str) -> list[Block]:
                 out.append(Block(*(stack[-1][1:] if stack else (0, 0)), text, links))
         parts, links = [], 0
 
-    while m := TOKEN.search(page, at):
-        if m.start() > at and not skip:
-            piece = page[at : m.start()]
+    def close(to: int):
+        nonlocal link
+        for name, _, _ in stack[to:]:
+            open_[name] -= 1
+        del stack[to:]
+        if link is not None and link > to:
+            link = None
+
+    while tag := tags.after(at):
+        start, end, slash, name, attributes = tag
+        if start > at and not skip:
+            piece = page[at:start]
             parts.append(piece)
-            links += len(piece) * (in_link > 0)
-        at = m.end()
-        name = (m[2] or "").lower()
+            links += len(piece) * (link is not None)
+        at = end
         if not name:
             continue
-        if name in RAW_END and not m[1] and not m[3].endswith("/"):
-            end = RAW_END[name].search(page, at)
-            at = end.end() if end else len(page)
+        if name in RAW_END and not slash and not attributes.endswith("/"):
+            raw = RAW_END[name].search(page, at)
+            at = raw.end() if raw else len(page)
             if not skip:
                 flush()
-                in_link = 0
             continue
         if skip:
-            if m[1] and name == skip:
+            if slash and name == skip:
                 skip = ""
             continue
         if name in INLINE:
             if name == "a":
-                in_link = 0 if m[1] else 1
+                link = None if slash else len(stack)
             continue
         flush()
-        in_link = 0
-        if m[1]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    del stack[i:]
-                    break
+        if slash:
+            if open_[name]:
+                close(next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name))
             continue
         if name in RAW:
-            if not m[3].endswith("/"):
+            if not attributes.endswith("/"):
                 skip = name
             continue
         if name in VOID:
             continue
         if name in CLOSES:
             while stack and stack[-1][0] in CLOSES[name]:
-                stack.pop()
+                close(len(stack) - 1)
         elif stack and stack[-1][0] == "p":
-            stack.pop()  # a block element ends a paragraph
+            close(len(stack) - 1)  # a block element ends a paragraph
         path, role = stack[-1][1:] if stack else (0, 0)
         marks = {name}
-        for groups in NAMES.findall(m[3]):
+        for groups in NAMES.findall(attributes):
             marks.update("." + w for w in re.split(r"[^a-z0-9]+", "".join(groups).lower()) if w)
         for mark in marks:
             path |= 1 << crc32(mark.encode()) % PATH
         plain = {mark.lstrip(".") for mark in marks}
         stack.append((name, path, role | bool(plain & GOOD) | 2 * bool(plain & BAD)))
+        open_[name] += 1
     if not skip and at < len(page):
         parts.append(page[at:])
     flush()
