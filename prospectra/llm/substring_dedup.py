@@ -265,7 +265,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFr
     later = repeats(found)
     part = F.struct("passage", "fid", "frow", "fstart", "start", "stop", "fstop")
     runs = _rows(
-        later.groupBy("id", "row").agg(F.collect_list(part).alias("spans")), "spans",
+        later.groupBy("id", "row").agg(F.collect_set(part).alias("spans")), "spans",  # a set, as equal rows have the same spans
         f"passage boolean, fid {kind}, frow long, fstart int, start int, stop int, fstop int", reduced,
     )
     runs = materialise(runs, "dedup-runs")
