@@ -83,7 +83,7 @@ class Tags:
             opened.append(stop)
             at = page.find(page[stop], stop + 1) + 1
         self.dead.update(opened)
-        self.stop = -1 if opened else self.stop
+        self.stop = opened[0] if opened else -1
         return -1
 
     def after(self, at: int) -> tuple[int, int, str, str, str] | None:
