@@ -2,14 +2,32 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+
+@contextmanager
+def rocksdb(spark: SparkSession) -> Iterator[None]:
+    """Streams that start inside keep their state in RocksDB, off the heap, as keyed processors need."""
+    was = spark.conf.get(PROVIDER)
+    spark.conf.set(PROVIDER, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(PROVIDER, was)
+
+
 def read(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:
-    """A folder of Parquet files as a stream; ts becomes a timestamp, which watermarks need."""
+    """A Parquet file, or a folder of them, as a stream; ts becomes a timestamp, which watermarks need."""
     schema = spark.read.parquet(path).schema
-    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+    path = path.rstrip("/")  # a stream takes a single file only as a match of a pattern
+    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(f"{path[:-1]}[{path[-1]}]")
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
