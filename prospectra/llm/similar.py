@@ -11,13 +11,19 @@ differ in 19, give or take 4, and unrelated ones in 64: a budget of 40 leaves
 out such a pair about once in a million.
 
 The order decides only the cost: shingles that are frequent in a sample come
-last, so a common line makes no large group.  First all texts of a group are
+last, so that a common line makes no large group.  First all texts of a group are
 compared with its least one only; so a large group of near copies costs one
 comparison each and not one for each pair.  Groups whose texts are not in one
-component yet go through the trie, large ones in parts: the largest component
-is dealt to parts, the others meet each part.  Texts with a possible partner
-are then compared inside the part's task, which gives links and never rows of
-pairs.
+component yet go through the trie.  Large ones are dealt to tasks of bounded
+size: the largest component and the other texts are cut into parts, and each
+part of the others meets each part of either.  Texts with a possible partner
+are then compared inside the task, which gives links and never rows of pairs.
+
+A sample does not see a shingle that few texts in ten thousand hold, yet at
+10**9 texts it makes a group of very many unrelated ones.  So groups are
+counted over all texts: a shingle whose group has more than CROWD texts outside
+its largest component is put last as well, and the texts that had it in their
+prefix get a new one.
 
 Results for special cases: null and empty texts are copies of each other and
 of nothing else; a text shorter than a shingle is one shingle; texts with
@@ -46,6 +52,8 @@ BUDGET, HALF = 40, 28
 SAMPLE, FREQUENT, FREQUENT_MOST = 10_000, 2, 500_000
 #: Texts of one group, and of one centre, that a task compares at once.
 GROUP_MOST = 1024
+#: Texts of a group outside its largest component from which its shingle counts as frequent, and how often prefixes are made anew.
+CROWD, ROUNDS = 4096, 3
 #: Sets that a task remembers between groups.
 SETS_KEPT = 10_000
 
@@ -85,9 +93,8 @@ def frequent_shingles(docs: DataFrame, width: int, text: str = "text") -> np.nda
     return np.sort(top.select("s").toArrow().column(0).to_numpy().view(np.uint64))
 
 
-def _rows(docs: DataFrame, keep: dict[str, str], text: str, width: int, similarity: float) -> DataFrame:
+def _rows(docs: DataFrame, keep: dict[str, str], text: str, width: int, similarity: float, frequent: np.ndarray) -> DataFrame:
     """Columns keep, node (a digest of the text's set), its size n, its fingerprint in fp and gp, the shingles of its prefix, the packed text."""
-    frequent = frequent_shingles(docs, width, text)
 
     def start():
         pack = zstandard.ZstdCompressor(level=1).compress
@@ -155,8 +162,8 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, width: int,
     return links
 
 
-def group_pairs(fp: np.ndarray, gp: np.ndarray, root: np.ndarray):
-    """Arrays (i, j, differing bits) of the rows of one group within the budget, of different roots, i < j in no order."""
+def group_pairs(fp: np.ndarray, gp: np.ndarray, root: np.ndarray, side: np.ndarray | None = None):
+    """Arrays (i, j, differing bits) of the rows of one group within the budget, of different roots (and sides, if given), i < j in no order."""
     values, which = np.unique(fp, return_inverse=True)
     order = np.argsort(which, kind="stable")
     ends = np.searchsorted(which[order], np.arange(len(values) + 1))
@@ -169,6 +176,8 @@ def group_pairs(fp: np.ndarray, gp: np.ndarray, root: np.ndarray):
             m = np.repeat(m, n * m)
             i, j = order[np.repeat(ends[x], n * (ends[y + 1] - ends[y])) + k // m], order[np.repeat(ends[y], n * (ends[y + 1] - ends[y])) + k % m]
             ok = (root[i] != root[j]) & ((fp[i] != fp[j]) | (i < j))
+            if side is not None:
+                ok &= side[i] != side[j]
             i, j = i[ok], j[ok]
             far = np.bitwise_count(fp[i] ^ fp[j]) + np.bitwise_count(gp[i] ^ gp[j])
             near = far <= BUDGET
@@ -196,20 +205,21 @@ def _groups(batches, n_columns: int):
 
 
 def _hopeful(batches):
-    """Of sorted rows (key, part, minor, node, fp, gp, root): those with a possible partner of another root in their part."""
-    for key, part, cols in _groups(batches, 7):
-        fp, gp, root = (cols[k].to_numpy() for k in (2, 3, 4))
+    """Of sorted rows (key, part, side, cross, node, fp, gp, root): those with a possible partner of another root in their task, of the other side where cross is set."""
+    for key, part, cols in _groups(batches, 8):
+        side, fp, gp, root = (cols[k].to_numpy() for k in (0, 3, 4, 5))
         hope = np.zeros(len(fp), bool)
-        for i, j, _ in group_pairs(fp.view(np.uint64), gp.view(np.uint64), root):
+        for i, j, _ in group_pairs(fp.view(np.uint64), gp.view(np.uint64), root, side if cols[1][0].as_py() else None):
             hope[i] = hope[j] = True
         if hope.any():
             keep = pa.array(np.flatnonzero(hope))
             n = len(keep)
-            yield pa.RecordBatch.from_arrays([pa.array([key] * n), pa.array([part] * n, pa.int32()), cols[0].take(keep), cols[1].take(keep), cols[4].take(keep)], names=["key", "part", "minor", "node", "root"])
+            made = [pa.array([key] * n), pa.array([part] * n, pa.int32()), *[cols[k].take(keep) for k in (0, 1, 2, 5)]]
+            yield pa.RecordBatch.from_arrays(made, names=["key", "part", "side", "cross", "node", "root"])
 
 
-def joined_sets(sets: list[np.ndarray], root: np.ndarray, minor: np.ndarray, part: int, similarity: float):
-    """Pairs (i, j) of sets as similar, that join different roots; a forest of them.
+def joined_sets(sets: list[np.ndarray], root: np.ndarray, side: np.ndarray | None, similarity: float):
+    """Pairs (i, j) of sets as similar, that join different roots (of different sides, if given); a forest of them.
 
     One set is held against all others at once, by its marks in the group's vocabulary.
     """
@@ -220,8 +230,8 @@ def joined_sets(sets: list[np.ndarray], root: np.ndarray, minor: np.ndarray, par
     marks = np.zeros(flat.max() + 1, np.int32)
     for i in range(len(sets)):
         ask = root != root[i]
-        if part and minor[i]:
-            ask &= minor == 0  # the small components meet each other in the first part
+        if side is not None:
+            ask &= side != side[i]
         if not ask.any():
             continue
         own = flat[begin[i] : begin[i] + size[i]]
@@ -235,20 +245,20 @@ def joined_sets(sets: list[np.ndarray], root: np.ndarray, minor: np.ndarray, par
 
 
 def _linker(width: int, similarity: float):
-    """Over sorted rows (key, part, minor, node, root, packed): links (a, b) of each part."""
+    """Over sorted rows (key, part, side, cross, node, root, packed): links (a, b) of each task."""
 
     def run(batches):
         unpack = zstandard.ZstdDecompressor().decompress
         known: dict[int, np.ndarray] = {}
-        for _, part, cols in _groups(batches, 6):
-            minor, node, root = (cols[k].to_numpy() for k in range(3))
+        for _, _, cols in _groups(batches, 7):
+            side, node, root = (cols[k].to_numpy() for k in (0, 2, 3))
             if len(known) > SETS_KEPT:
                 known.clear()
-            for x, packed in zip(node.tolist(), cols[3].to_pylist()):
+            for x, packed in zip(node.tolist(), cols[4].to_pylist()):
                 if x not in known:
                     known[x] = np.unique(shingle_hashes(unpack(packed), width))
             sets = [known[x] for x in node.tolist()]
-            found = list(joined_sets(sets, root, minor, part, similarity))
+            found = list(joined_sets(sets, root, side if cols[1][0].as_py() else None, similarity))
             if found:
                 a, b = node[np.array(found).T]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
@@ -256,6 +266,15 @@ def _linker(width: int, similarity: float):
     return run
 
 
+#: The tasks of a row: a group of one part each is one task; else parts of the largest component (p of them) meet those of the others (q), and
+#: these each other. own is the row's part among its like; a task's sides are what must meet.
+TASKS = """
+CASE WHEN p = 1 AND q = 1 THEN array(struct(0 AS part, 0 AS side, false AS cross))
+WHEN root = most THEN transform(sequence(0, q - 1), j -> struct(own * q + j AS part, 0 AS side, true AS cross))
+ELSE concat(transform(sequence(0, p - 1), i -> struct(i * q + own AS part, 1 AS side, true AS cross)),
+  transform(sequence(0, q - 1), j -> struct(p * q + least(own, j) * q + greatest(own, j) AS part, CASE WHEN own <= j THEN 0 ELSE 1 END AS side, own <> j AS cross))) END"""
+
+
 def _rest(members: DataFrame, roots: DataFrame, nodes: DataFrame, rows: DataFrame, width: int, similarity: float) -> DataFrame:
     """Links (a, b) between texts of a group that are not in one component yet."""
     placed = members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
@@ -263,44 +282,93 @@ def _rest(members: DataFrame, roots: DataFrame, nodes: DataFrame, rows: DataFram
         F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("m"), F.bit_xor("node").alias("s"), F.bit_xor(F.xxhash64("node")).alias("t")
     )
     # groups with the same members are taken once
-    mixed = groups.filter("x <> y").groupBy("m", "s", "t").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("m") / GROUP_MOST).cast("int").alias("parts"))
+    mixed = groups.filter("x <> y").groupBy("m", "s", "t").agg(F.min("key").alias("key")).select("key")
     mixed = materialise(placed.join(mixed, "key"), "similar-mixed")
-    sizes = mixed.groupBy("key", "root").count().groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("most"))
+    counts = mixed.groupBy("key", "root").count().groupBy("key")
+    sizes = counts.agg(F.max_by("root", F.struct("count", "root")).alias("most"), F.max("count").alias("major"), F.sum("count").alias("m"))
+    parts = lambda n: F.ceil(n / GROUP_MOST).cast("int")
+    sizes = sizes.select("key", "most", parts(F.col("major")).alias("p"), parts(F.col("m") - F.col("major")).alias("q"))
     sizes = materialise(sizes, "similar-sizes")  # written, so that the join deals a hot group anew
-    own = F.array(F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    everywhere = F.sequence(F.lit(0), F.col("parts") - 1)
-    dealt = mixed.join(sizes, "key").withColumn("minor", (F.col("root") != F.col("most")).cast("int"))
-    dealt = dealt.withColumn("part", F.explode(F.when(F.col("minor") == 1, everywhere).otherwise(own))).join(nodes.select("node", "fp", "gp"), "node")
-    dealt = dealt.select("key", "part", "minor", "node", "fp", "gp", "root").repartition("key", "part").sortWithinPartitions("key", "part")
-    hopeful = materialise(dealt.mapInArrow(_hopeful, "key long, part int, minor int, node long, root long"), "similar-hopeful")
+    dealt = mixed.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.when(F.col("root") == F.col("most"), F.col("p")).otherwise(F.col("q"))).cast("int"))
+    dealt = dealt.select("key", "node", "root", F.inline(F.expr(TASKS))).join(nodes.select("node", "fp", "gp"), "node")
+    dealt = dealt.select("key", "part", "side", "cross", "node", "fp", "gp", "root").repartition("key", "part").sortWithinPartitions("key", "part")
+    hopeful = materialise(dealt.mapInArrow(_hopeful, "key long, part int, side int, cross boolean, node long, root long"), "similar-hopeful")
     asked = hopeful.select("node").distinct().join(nodes.select("node", "rid"), "node")
     texts = materialise(rows.select("rid", "packed").join(asked, "rid").select("node", "packed"), "similar-texts")
-    given = hopeful.join(texts, "node").select("key", "part", "minor", "node", "root", "packed").repartition("key", "part").sortWithinPartitions("key", "part")
+    given = hopeful.join(texts, "node").select("key", "part", "side", "cross", "node", "root", "packed").repartition("key", "part").sortWithinPartitions("key", "part")
     links = materialise(given.mapInArrow(_linker(width, similarity), "a long, b long"), "similar-links")
     forget(mixed, sizes, hopeful, texts)
     return links
 
 
+def _grouped(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((node, key) of all prefixes, (key, least, m) of the keys that several nodes have)."""
+    dealt = nodes.select("node", F.explode("keys").alias("key"))
+    groups = dealt.groupBy("key").agg(F.count("*").alias("m"), F.min("node").alias("least")).filter("m > 1")
+    return dealt, materialise(groups, "similar-groups")  # written, as in _rest
+
+
+def crowded(dealt: DataFrame, groups: DataFrame, roots: DataFrame) -> np.ndarray:
+    """The shingles whose groups have over CROWD texts outside their largest component; there are at most FREQUENT_MOST such."""
+    large = groups.filter(F.col("m") > CROWD)
+    total = large.agg(F.sum("m")).first()[0]
+    if not total:
+        return np.empty(0, np.uint64)
+    placed = dealt.join(large.select("key"), "key").join(roots, "node", "left").select("key", F.coalesce("root", "node").alias("root"))
+    sizes = placed.groupBy("key", "root").count().groupBy("key").agg((F.sum("count") - F.max("count")).alias("others"))
+    found = sizes.filter(F.col("others") > max(CROWD, total // FREQUENT_MOST)).select("key").toArrow()
+    return np.sort(found.column(0).to_numpy().view(np.uint64))
+
+
+def _again(nodes: DataFrame, rows: DataFrame, new: np.ndarray, frequent: np.ndarray, width: int, similarity: float) -> DataFrame:
+    """nodes with new prefixes for those that had one of the shingles new, which are among the frequent ones by now."""
+    gone = nodes.sparkSession.createDataFrame([(int(x),) for x in new.view(np.int64)], "key long")
+    touched = materialise(nodes.select("rid", F.explode("keys").alias("key")).join(F.broadcast(gone), "key").select("rid").distinct(), "similar-touched")
+    texts = rows.select("rid", "packed").join(touched, "rid")
+
+    def run(batches):
+        unpack = zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            first = [prefix(np.unique(shingle_hashes(unpack(x.as_py()), width)), frequent, similarity) for x in batch.column(1)]
+            ends = np.concatenate(([0], np.cumsum([len(x) for x in first])))
+            flat = np.concatenate(first).view(np.int64) if first else np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], names=["rid", "keys"])
+
+    made = texts.mapInArrow(run, "rid long, keys array<bigint>")
+    moved = nodes.drop("keys").join(made, "rid").select(*nodes.columns)
+    out = materialise(nodes.join(touched, "rid", "left_anti").select(*nodes.columns).unionByName(moved), "similar-nodes")
+    forget(touched)
+    return out
+
+
 def classes(docs: DataFrame, id_col: str, text: str, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
     """(id, digest of the text, root, component_id) of each row."""
     given = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("digest"), F.col(text).alias("t"))
-    rows = _rows(given, {"id": "id", "digest": "digest"}, "t", width, similarity).withColumn("rid", F.monotonically_increasing_id())
+    frequent = frequent_shingles(given, width, "t")
+    rows = _rows(given, {"id": "id", "digest": "digest"}, "t", width, similarity, frequent).withColumn("rid", F.monotonically_increasing_id())
     rows = materialise(rows, "similar-rows")
     one = rows.filter("n > 0").groupBy("node").agg(F.min("rid").alias("rid")).select("rid")
     nodes = materialise(rows.select("rid", "node", "n", "fp", "gp", "keys").join(one, "rid", "left_semi"), "similar-nodes")
-    dealt = nodes.select("node", F.explode("keys").alias("key"))
-    groups = dealt.groupBy("key").agg(F.count("*").alias("m"), F.min("node").alias("least")).filter("m > 1").select("key", "least")
-    groups = materialise(groups, "similar-groups")  # as in _rest
-    starred = materialise(dealt.join(groups, "key"), "similar-starred")
-    forget(groups)
+    dealt, groups = _grouped(nodes)
+    starred = materialise(dealt.join(groups.select("key", "least"), "key"), "similar-starred")
     first = starred.filter("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
     first = materialise(_possible(first, nodes, similarity), "similar-first")
     links = _confirmed(first, nodes, rows, width, similarity)
     members = materialise(starred.select("key", "node"), "similar-members")
     forget(starred, first)
     roots = components(links)
+    for _ in range(ROUNDS):
+        new = np.setdiff1d(crowded(dealt, groups, roots), frequent)
+        if not len(new):
+            break
+        frequent = np.union1d(frequent, new)
+        calmer = _again(nodes, rows, new, frequent, width, similarity)
+        forget(nodes, groups, members)
+        nodes = calmer
+        dealt, groups = _grouped(nodes)
+        members = materialise(dealt.join(groups.select("key"), "key").select("key", "node"), "similar-members")
     links = links.unionByName(_rest(members, roots, nodes, rows, width, similarity))
-    forget(members, roots)
+    forget(members, groups, roots)
     roots = components(links)
     found = rows.join(roots, "node", "left").select("id", "digest", F.coalesce("root", "node").alias("root"))
     found = materialise(found, "similar-found")
