@@ -63,7 +63,7 @@ f AS (
     CASE WHEN opened OR (worked AND arg = 'in_progress') THEN list_append(others, ticket_id) WHEN worked THEN others ELSE open END, CASE WHEN opened THEN list_append(known, ticket_id) ELSE known END,
     refused + CASE WHEN approve OR dom OR checkout OR demo OR hand OR opened OR worked OR kind IN {_list(_L.PAYMENT_EVENTS)} THEN 0 ELSE 1 END
   FROM ({MOVE} FROM f JOIN log e ON e.request_id = f.request_id AND e.n = f.n + 1))
-SELECT request_id, arg_max(status, n) AS status, arg_max(payment, n) AS payment, arg_max(hosting, n) AS hosting, CAST(len(arg_max(open, n)) AS INTEGER) AS open_tickets, arg_max(refused, n) AS refused, max(n) AS events, CAST(0 AS BIGINT) AS late
+SELECT request_id, arg_max(status, n) AS status, arg_max(payment, n) AS payment, arg_max(hosting, n) AS hosting, CAST(len(arg_max(open, n)) AS INTEGER) AS open_tickets, arg_max(refused, n) AS refused, max(n) AS events
 FROM f GROUP BY 1"""
 
 

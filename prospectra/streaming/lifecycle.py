@@ -2,9 +2,9 @@
 
 The same rules run in two forms.  Over a whole log, events of a request are
 sorted and folded by built-in functions.  Over a stream, a keyed state holds
-the request and the ids of its events that the watermark has not passed; an
-event before the watermark is late and changes nothing.  As long as events
-come in their order, both give the same states.
+the request and the ids of its events that the watermark has not passed; Spark
+drops an event before the watermark.  As long as events come in their order,
+both give the same states.
 
 An event that its state does not allow is refused: it changes nothing but the
 count of refusals.  Null kinds and arguments are refused; an event without an
@@ -39,7 +39,7 @@ DOMAIN_RE = r"^[a-z0-9]([a-z0-9-]{0,61}[a-z0-9])?(\.[a-z0-9]([a-z0-9-]{0,61}[a-z
 #: Events: kind says which; arg is the domain, address, status or payment state; flag whether hosting is wanted.
 EVENT = "request_id long, event_id long, happened_at timestamp, kind string, arg string, url string, ticket_id long, flag boolean"
 STATE = "status string, payment string, hosting string, hosting_selected boolean, approved boolean, domain boolean, open array<bigint>, known array<bigint>, refused bigint, events bigint"
-REPORT = "request_id long, status string, payment string, hosting string, open_tickets int, refused long, events long, late long"
+REPORT = "request_id long, status string, payment string, hosting string, open_tickets int, refused long, events long"
 
 
 def _in(x: Column, values: list[str]) -> Column:
@@ -119,7 +119,7 @@ def folded(events: DataFrame) -> DataFrame:
     begin = F.from_json(F.lit('{"status":"submitted","payment":"not_ready","hosting":"not_selected","hosting_selected":false,"approved":false,"domain":false,"open":[],"known":[],"refused":0,"events":0}'), kind)
     end = steps.select("request_id", F.aggregate("steps", begin, step).alias("s"))
     return end.select(
-        "request_id", "s.status", "s.payment", "s.hosting", F.size("s.open").alias("open_tickets"), "s.refused", "s.events", F.lit(0).cast("long").alias("late")
+        "request_id", "s.status", "s.payment", "s.hosting", F.size("s.open").alias("open_tickets"), "s.refused", "s.events"
     )
 
 
@@ -171,31 +171,29 @@ class Lifecycle(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.request = handle.getValueState("request", f"{STATE}, late bigint")
+        self.request = handle.getValueState("request", STATE)
         self.seen = handle.getMapState("seen", "event_id bigint", "at bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
         was = self.request.get() if self.request.exists() else None
-        s = dict(zip([*start(), "late"], was)) if was is not None else start() | {"late": 0}
+        s = dict(zip(start(), was)) if was is not None else start()
         s["open"], s["known"] = list(s["open"]), list(s["known"])
         edge = timers.getCurrentWatermarkInMs()
-        events = pd.concat(list(rows))
-        events = events.astype(object).where(events.notna(), None).to_dict("records")
+        events = [{c: None if pd.isna(v) else v for c, v in e.items()} for part in rows for e in part.to_dict("records")]
+        for e in events:  # pandas makes numbers with gaps floats
+            e |= {c: None if e[c] is None else int(e[c]) for c in ("event_id", "ticket_id")}
         events.sort(key=lambda e: (e["happened_at"], e["event_id"] is not None, e["event_id"] or 0))
         for e in events:
-            ms = int(e["happened_at"].timestamp() * 1000)
-            if ms < edge:
-                s["late"] += 1
-            elif e["event_id"] is None:
+            if e["event_id"] is None:
                 moved(s, e)
-            elif not self.seen.containsKey((int(e["event_id"]),)):
-                self.seen.updateValue((int(e["event_id"]),), (ms,))
+            elif not self.seen.containsKey((e["event_id"],)):
+                self.seen.updateValue((e["event_id"],), (int(e["happened_at"].timestamp() * 1000),))
                 moved(s, e)
         for (event_id,), (ms,) in list(self.seen.iterator()):
             if ms < edge:
                 self.seen.removeKey((event_id,))
         self.request.update(tuple(s.values()))
-        made = {"request_id": [key[0]], **{c: [s[c]] for c in ("status", "payment", "hosting")}, "open_tickets": [len(s["open"])], **{c: [s[c]] for c in ("refused", "events", "late")}}
+        made = {"request_id": [key[0]], **{c: [s[c]] for c in ("status", "payment", "hosting")}, "open_tickets": [len(s["open"])], **{c: [s[c]] for c in ("refused", "events")}}
         yield pd.DataFrame(made).astype({"open_tickets": "int32"})
 
     def close(self) -> None:
@@ -203,7 +201,7 @@ class Lifecycle(StatefulProcessor):
 
 
 def streamed(events: DataFrame, late: str = "1 hour") -> DataFrame:
-    """REPORT of each request that a trigger has events of; the newest row has the most events and late ones.
+    """REPORT of each request that a trigger has events of; the newest row has the most events.
 
     Needs the RocksDB state store (spark.sql.streaming.stateStore.providerClass).
     """
@@ -214,4 +212,4 @@ def streamed(events: DataFrame, late: str = "1 hour") -> DataFrame:
 def newest(reports: DataFrame) -> DataFrame:
     """The last report of each request."""
     rest = [c for c in reports.columns if c != "request_id"]
-    return reports.groupBy("request_id").agg(F.max_by(F.struct(*rest), F.col("events") + F.col("late")).alias("r")).select("request_id", "r.*")
+    return reports.groupBy("request_id").agg(F.max_by(F.struct(*rest), "events").alias("r")).select("request_id", "r.*")

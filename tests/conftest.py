@@ -2,6 +2,7 @@ import os
 import sys
 from pathlib import Path
 
+import duckdb
 import pytest
 
 ROOT = str(Path(__file__).resolve().parents[1])
@@ -27,3 +28,12 @@ def spark(tmp_path_factory):
 @pytest.fixture(scope="session")
 def small():
     return "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="session")
+def duck(small):
+    con = duckdb.connect()
+    con.execute("SET TimeZone='UTC'")
+    for t in "region nation customer supplier part orders lineitem events documents pages".split():
+        con.execute(f"create view {t} as select * from '{small}/{t}.parquet'")
+    return con
