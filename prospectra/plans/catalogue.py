@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import captured, dedup, diagnostics, lifecycles, presence, queues, records, upkeep, warehouse
+from . import captured, dedup, diagnostics, lifecycles, payloads, presence, queues, records, upkeep, warehouse
 from .registry import Query
 
-MODULES = [warehouse, diagnostics, presence, queues, records, captured, upkeep, dedup, lifecycles]
+MODULES = [warehouse, diagnostics, presence, queues, records, captured, upkeep, dedup, lifecycles, payloads]
 
 
 def queries() -> dict[str, Query]:
