@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import campaign, captured, dedup, diagnostics, lifecycles, payloads, presence, queues, records, requests, upkeep, warehouse
+from . import campaign, captured, dedup, diagnostics, lifecycles, manifests, payloads, presence, queues, records, requests, upkeep, warehouse
 from .registry import Query
 
-MODULES = [warehouse, diagnostics, presence, queues, records, captured, upkeep, dedup, lifecycles, payloads, requests, campaign]
+MODULES = [warehouse, diagnostics, presence, queues, records, captured, upkeep, dedup, lifecycles, payloads, requests, campaign, manifests]
 
 
 def queries() -> dict[str, Query]:
