@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..operators.scratch import clear, forget, shared_dir  # noqa: F401
 from ..operators.scratch import written as materialise  # noqa: F401
@@ -15,6 +16,14 @@ from ..operators.scratch import written as materialise  # noqa: F401
 #: Rows, and bytes of text, that a function gets at once; a longer text comes alone.
 SLICE_ROWS, SLICE_BYTES = 512, 4 << 20
 
+#: Rows of a table of one or two numbers that may be sent to every task, some 30 MB there.
+FEW = 500_000
+
+
+def sent(table: DataFrame) -> DataFrame:
+    """A written table of ids, marked to be sent to every task if a count shows that it has FEW rows; beyond, its join shuffles both sides."""
+    return F.broadcast(table) if table.count() <= FEW else table
+
 
 def slices(column: pa.Array) -> Iterator[tuple[int, int]]:
     """Ranges of rows of bounded numbers and bytes, in order."""

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
-from .common import forget, map_texts, materialise
+from .common import forget, map_texts, materialise, sent
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -304,7 +304,7 @@ def keep_one_each(
     found = materialise(found.select("id", "digest", "root", "component_id"), "simhash-found")
     forget(made)
     drop = materialise(found.filter("id <> component_id").select("id", "digest").distinct(), "simhash-drop")
-    kept = docs.join(drop, (docs[id_col] == drop["id"]) & (F.xxhash64(docs[text]) == drop["digest"]), "left_anti")
+    kept = docs.join(sent(drop), (docs[id_col] == drop["id"]) & (F.xxhash64(docs[text]) == drop["digest"]), "left_anti")
     twice = materialise(found.filter("id = component_id").groupBy("id", "root").count().filter("count > 1").select("id").distinct(), "simhash-twice")
     if twice.isEmpty():
         return kept

@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
-from .common import forget, map_texts, materialise
+from .common import forget, map_texts, materialise, sent
 from .simhash import bits_of, shingle_hashes, trie_pairs
 
 WIDTH, SIMILARITY = 5, 0.8
@@ -125,6 +125,14 @@ def _possible(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFram
     return both.filter(near & fits).select("a", "b")
 
 
+def _texts_of(asked: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
+    """(node, packed) of the nodes in asked, one text of each."""
+    wanted = materialise(asked.select("node").distinct().join(nodes.select("node", "rid"), "node"), "similar-wanted")
+    texts = materialise(rows.select("rid", "packed").join(sent(wanted), "rid").select("node", "packed"), "similar-texts")
+    forget(wanted)
+    return texts
+
+
 def _confirmed(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, width: int, similarity: float) -> DataFrame:
     """The pairs (a, b) of nodes whose sets are as similar; sets are made anew from one text of each node.
 
@@ -134,8 +142,7 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, width: int,
     leaves = pairs.join(parts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), F.col("b").alias("node"), F.lit(1).alias("leaf"))
     tops = parts.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("a").alias("node"), F.lit(0).alias("leaf"))
     asked = materialise(leaves.unionByName(tops), "similar-asked")
-    wanted = asked.select("node").distinct().join(nodes.select("node", "rid"), "node")
-    texts = materialise(rows.select("rid", "packed").join(wanted, "rid").select("node", "packed"), "similar-texts")
+    texts = _texts_of(asked, nodes, rows)
     given = asked.join(texts, "node").select("a", "part", "leaf", "node", "packed")
 
     def run(batches):
@@ -293,11 +300,14 @@ def _rest(members: DataFrame, roots: DataFrame, nodes: DataFrame, rows: DataFram
     dealt = dealt.select("key", "node", "root", F.inline(F.expr(TASKS))).join(nodes.select("node", "fp", "gp"), "node")
     dealt = dealt.select("key", "part", "side", "cross", "node", "fp", "gp", "root").repartition("key", "part").sortWithinPartitions("key", "part")
     hopeful = materialise(dealt.mapInArrow(_hopeful, "key long, part int, side int, cross boolean, node long, root long"), "similar-hopeful")
-    asked = hopeful.select("node").distinct().join(nodes.select("node", "rid"), "node")
-    texts = materialise(rows.select("rid", "packed").join(asked, "rid").select("node", "packed"), "similar-texts")
-    given = hopeful.join(texts, "node").select("key", "part", "side", "cross", "node", "root", "packed").repartition("key", "part").sortWithinPartitions("key", "part")
+    # tasks with the same members are taken once: a pair shares many shingles, and most of its groups hold no other possible partners
+    alike = hopeful.groupBy("key", "part").agg(F.count("*").alias("m"), F.bit_xor("node").alias("s"), F.bit_xor(F.xxhash64("node", "side", "cross")).alias("t"))
+    once = alike.groupBy("m", "s", "t").agg(F.min(F.struct("key", "part")).alias("one")).select("one.*")
+    asked = materialise(hopeful.join(once, ["key", "part"]), "similar-asked")
+    texts = _texts_of(asked, nodes, rows)
+    given = asked.join(texts, "node").select("key", "part", "side", "cross", "node", "root", "packed").repartition("key", "part").sortWithinPartitions("key", "part")
     links = materialise(given.mapInArrow(_linker(width, similarity), "a long, b long"), "similar-links")
-    forget(mixed, sizes, hopeful, texts)
+    forget(mixed, sizes, hopeful, asked, texts)
     return links
 
 
