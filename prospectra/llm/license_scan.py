@@ -10,13 +10,15 @@ a template's bigrams skips it altogether.  From each start that is left, the
 end with the best coefficient is taken; a run begins and ends with a bigram of
 the template, as any other would score less.
 
-A full licence text is reported by its own template or, for the long ones
-(Apache, GPL, LGPL, AGPL, MPL), by the header or opening that it contains.
+The long licences stand as whole texts in the folder ``licences``; the others,
+and notices and headers, are given here.  Of the AGPL there is no whole text:
+it is reported by its header.
 
 Results for special cases: null and empty texts, and texts of fewer than two
 words, have no licence; equal rows each give a row; a licence found twice is
 listed twice with its offsets (code points, end exclusive); of overlapping runs
-the best (then the longest, then the first by name) is reported.
+the best (then the longest, then the first by name) is reported, but a header
+or notice inside the whole text that holds it is not told from that.
 """
 
 from __future__ import annotations
@@ -25,6 +27,9 @@ import math
 import re
 from bisect import bisect_left
 from collections import Counter, defaultdict
+from collections.abc import Iterable
+from functools import cache
+from importlib.resources import files
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -140,10 +145,17 @@ def dice(a: Counter, b: Counter) -> float:
     return 2 * sum(min(n, b[k]) for k, n in a.items() if k in b) / total if total else 0.0
 
 
+@cache
+def whole_texts() -> dict[str, str]:
+    """The whole texts of the long licences, by name."""
+    folder = files(__package__).joinpath("licences")
+    return {f.name.removesuffix(".txt"): f.read_text("utf-8") for f in sorted(folder.iterdir(), key=lambda f: f.name) if f.name.endswith(".txt")}
+
+
 class Templates:
-    """Templates with their bigrams, sizes, and an index of bigrams."""
+    """Templates with their bigrams, sizes, and an index of bigrams; wholes names those that hold others as their parts."""
 
-    def __init__(self, templates: dict[str, str], threshold: float = THRESHOLD):
+    def __init__(self, templates: dict[str, str], threshold: float = THRESHOLD, wholes: Iterable[str] = ()):
         self.t = threshold
         self.grams = {n: bigrams(words_of(x.encode())) for n, x in templates.items()}
         self.grams = {n: g for n, g in self.grams.items() if g}
@@ -161,6 +173,8 @@ class Templates:
                 taken += g[k]
                 if taken > lack:
                     break
+        #: The templates that a whole text holds, of half its size at most.
+        self.parts = {n: {m for m, *_ in self.candidates(templates[n].encode()) if 2 * self.size[m] <= self.size[n]} for n in wholes}
 
     def bounds(self, name: str) -> tuple[float, float]:
         """Numbers of bigrams that a run may have."""
@@ -194,8 +208,8 @@ class Templates:
             if d[best] >= self.t - 1e-12:
                 yield float(d[best]), at[h], at[h + best]
 
-    def find(self, text: bytes) -> list[tuple[str, float, int, int]]:
-        """(template, dice, start, end) in bytes, by start."""
+    def candidates(self, text: bytes) -> list[tuple[str, float, int, int]]:
+        """(template, dice, start, end) in bytes of every run that reaches the threshold, the best from each start."""
         low = text.translate(LOWER)
         if self.anchors.isdisjoint(WORD.findall(low)):
             return []
@@ -206,10 +220,14 @@ class Templates:
         for i, k in enumerate(grams):
             for name in self.index.get(k, ()):
                 hits[name].append(i)
-        found = []
-        for name, at in hits.items():
-            for d, i, j in self.runs(name, grams, at):
-                found.append((name, d, tokens[i][1], tokens[j + 1][2]))
+        return [(name, d, tokens[i][1], tokens[j + 1][2]) for name, at in hits.items() for d, i, j in self.runs(name, grams, at)]
+
+    def find(self, text: bytes) -> list[tuple[str, float, int, int]]:
+        """(template, dice, start, end) in bytes, by start."""
+        found = self.candidates(text)
+        # a header or notice inside the whole text that it is a part of is no licence of its own
+        wholes = [f for f in found if self.parts.get(f[0])]
+        found = [f for f in found if not any(f[0] in self.parts[w[0]] and w[2] <= f[2] and f[3] <= w[3] for w in wholes)] if len(found) > len(wholes) else found
         # of overlapping matches the best, then the longest, then the first by name
         kept: list = []
         for f in sorted(found, key=lambda f: (-round(f[1], 9), f[2] - f[3], f[0])):
@@ -223,7 +241,7 @@ def license_report(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     """Per document: n_licenses, the names (distinct, sorted), the best coefficient, and name:start:end of all."""
 
     def start():
-        scan = Templates(templates or TEMPLATES, threshold)
+        scan = Templates(templates, threshold) if templates else Templates(TEMPLATES | whole_texts(), threshold, whole_texts())
 
         def work(texts):
             out = {"n_licenses": [], "licenses": [], "best_dice": [], "license_spans": []}
