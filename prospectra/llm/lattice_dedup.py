@@ -179,7 +179,7 @@ def _groups(cosine: float):
         key = [t.column(c).to_numpy() for c in ("cell", "i", "j")]
         new = np.nonzero(np.any([k[1:] != k[:-1] for k in key], 0))[0] + 1
         column = {c: t.column(c).to_numpy() for c in ("h1", "h2", "lab", "p", "n")}
-        vectors, names = t.column("vector").combine_chunks(), t.column("cells").combine_chunks()
+        vectors, names, ids = (t.column(c).combine_chunks() for c in ("vector", "cells", "id"))
         sizes = vectors.value_lengths().to_numpy()
         for at in np.split(np.arange(t.num_rows), new):
             for size in np.unique(sizes[at]):
@@ -195,8 +195,8 @@ def _groups(cosine: float):
                 if len(some):
                     root = rows[_forest(near)[some]]
                     some = rows[some]
-                    made = [column["h1"][some], column["h2"][some], links[links > 0], column["h1"][root], column["h2"][root]]
-                    yield pa.RecordBatch.from_arrays([pa.array(m) for m in made], names=["h1", "h2", "links", "r1", "r2"])
+                    made = [pa.array(m) for m in (column["h1"][some], column["h2"][some], links[links > 0], column["h1"][root], column["h2"][root])]
+                    yield pa.RecordBatch.from_arrays([*made, ids.take(pa.array(some)), ids.take(pa.array(root))], names=["h1", "h2", "links", "r1", "r2", "id", "rid"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -237,22 +237,23 @@ def near_vectors(rows: DataFrame, vector: str = "embedding", label: str = "label
     inside = entered.join(kept, "cell").groupBy("h1", "h2").agg(F.collect_list(F.struct("cell", "size")).alias("at"))  # no more than a vector enters
 
     parts = F.when(F.col("size") <= WHOLE, 1).otherwise(F.ceil(F.col("size") / PART)).cast("int")
-    members = classes.join(inside, ["h1", "h2"]).select("h1", "h2", "lab", "n", "vector", F.col("at.cell").alias("cells"), F.explode("at").alias("one"))
+    members = classes.join(inside, ["h1", "h2"]).select("h1", "h2", "id", "lab", "n", "vector", F.col("at.cell").alias("cells"), F.explode("at").alias("one"))
     members = members.select("*", "one.*").withColumn("parts", parts).withColumn("p", F.pmod("h1", "parts").cast("int"))
     q = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("q")
-    dealt = members.select("cell", "h1", "h2", "lab", "n", "vector", "cells", "p", q).select(
-        "cell", F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"), "h1", "h2", "lab", "n", "vector", "cells", "p"
+    dealt = members.select("cell", "h1", "h2", "id", "lab", "n", "vector", "cells", "p", q).select(
+        "cell", F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"), "h1", "h2", "id", "lab", "n", "vector", "cells", "p"
     )
     tasks = dealt.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j")
-    found = materialise(tasks.mapInArrow(_groups(cosine), "h1 long, h2 long, links long, r1 long, r2 long"), "links")
+    kind = classes.schema["id"].dataType.simpleString()
+    found = materialise(tasks.mapInArrow(_groups(cosine), f"h1 long, h2 long, links long, r1 long, r2 long, id {kind}, rid {kind}"), "links")
 
     links = found.groupBy("h1", "h2").agg(F.sum("links").alias("links"))
-    edges = found.select(F.struct("h1", "h2").alias("a"), F.struct(F.col("r1").alias("h1"), F.col("r2").alias("h2")).alias("b")).filter("a != b")
-    root = components(edges).select(F.col("node.h1").alias("h1"), F.col("node.h2").alias("h2"), "root")
+    # nodes are ordered by their ids, those without one last, so the least node of a component has its least id
+    node = lambda i, a, b: F.struct(F.col(i).isNull().alias("z"), F.col(i).alias("id"), F.col(a).alias("h1"), F.col(b).alias("h2"))
+    edges = found.select(node("id", "h1", "h2").alias("a"), node("rid", "r1", "r2").alias("b")).filter("a != b")
+    root = components(edges).select(F.col("node.h1").alias("h1"), F.col("node.h2").alias("h2"), F.col("root.id").alias("least"), F.lit(True).alias("joined"))
     ids = classes.select("h1", "h2", "n", "id")
-    least = ids.join(root, ["h1", "h2"]).groupBy("root").agg(F.min("id").alias("least"))
-    of = root.join(least, "root").drop("root")
-    per_class = ids.join(links, ["h1", "h2"], "left").join(of.withColumn("joined", F.lit(True)), ["h1", "h2"], "left").select(
+    per_class = ids.join(links, ["h1", "h2"], "left").join(root, ["h1", "h2"], "left").select(
         "h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.when(F.col("joined"), F.col("least")).otherwise(F.col("id")).alias("component_id")
     )
     per_class = materialise(per_class, "classes")
