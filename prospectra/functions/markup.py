@@ -157,6 +157,27 @@ def pieces(markup: str, of: Callable[[str], dict], schema: str) -> Column:
     return F.pandas_udf(batch, schema)(markup)
 
 
+def visible(fragment: str) -> str:
+    """The strings of a piece of markup, parted by blanks; it may begin and end inside a tag."""
+    return " ".join(s for x in read(fragment).strings if (s := x.strip()))
+
+
+def contexts(markup: Column, address: str, radius: int) -> Column:
+    """array<struct<email, context>>: each address that the pattern finds, in order, with the visible text of so many characters on both sides.
+
+    A text is searched once, so many addresses take time in proportion; null and texts without any give an empty list.
+    """
+    pattern = re.compile(address)
+
+    def near(x: str | None) -> list[dict]:
+        return [{"email": m[0], "context": visible(x[max(0, m.start() - radius) : m.end() + radius])} for m in pattern.finditer(x or "")]
+
+    def batch(texts: pd.Series) -> pd.Series:
+        return pd.Series([near(x) for x in texts], dtype=object)
+
+    return F.pandas_udf(batch, "array<struct<email:string,context:string>>")(markup)
+
+
 def url_fields(url: Column) -> dict[str, Column]:
     """Position and id inside a place's address; a position whose numbers are malformed is none."""
     part = lambda i: F.nullif(F.regexp_extract(url, r"@([0-9.-]+),([0-9.-]+)", i), F.lit(""))

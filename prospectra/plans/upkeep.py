@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import markup
 from ..operators import merge
 from .fixtures import view
 from .registry import Registry
@@ -93,41 +94,16 @@ def viewport_listings(spark, sf_dir):
 ADDRESS, RADIUS = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", 350
 
 
-def address_contexts(html: Column, radius: int = RADIUS) -> Column:
-    """array<struct<email, context>>: each address in order, with the visible text around it; null or without addresses: empty.
-
-    Where an address begins follows from the lengths of the parts between
-    addresses, so no row leaves the JVM.
-    """
-    found = F.regexp_extract_all(html, F.lit(ADDRESS), F.lit(0))
-    gaps = F.transform(F.split(html, ADDRESS, -1), F.length)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<email:string,at:int>>").alias("out"))
-    indexed = F.transform(found, lambda e, i: F.struct(e.alias("e"), F.get(gaps, i).alias("gap")))
-    step = lambda s, x: F.struct(
-        (s["at"] + x["gap"] + F.length(x["e"])).alias("at"),
-        F.concat(s["out"], F.array(F.struct(x["e"].alias("email"), (s["at"] + x["gap"]).alias("at")))).alias("out"),
-    )
-    placed = F.aggregate(indexed, start, step)["out"]
-
-    def near(p):
-        low = F.greatest(p["at"] - radius, F.lit(0))
-        part = F.substring(html, low + 1, p["at"] + F.length(p["email"]) + radius - low)
-        pieces = F.filter(F.transform(F.split(part, "<[^>]*>", -1), lambda t: F.trim(t)), lambda t: t != "")
-        return F.struct(p["email"].alias("email"), F.array_join(pieces, " ").alias("context"))
-
-    return F.coalesce(F.transform(placed, near), F.array().cast("array<struct<email:string,context:string>>"))
-
-
-_HTML = """SELECT event_id AS id, CASE WHEN event_id % 9 <> 0 THEN concat('<p>Shop ', CAST(event_id AS VARCHAR(20)), '</p>', repeat('<i>pad</i> ', CAST(event_id % 60 AS INT)), '<b>a', CAST(event_id AS VARCHAR(20)), '@x.example.org</b>',
+_HTML = """SELECT event_id AS id, CASE WHEN event_id % 9 <> 0 THEN concat('<p>Shop ', CAST(event_id AS VARCHAR(20)), '</p>', repeat('<i>pad</i> ', CAST(event_id % 60 AS INT)), CASE WHEN event_id % 3 = 0 THEN 'Fish &amp; Chips' ELSE '' END, '<b>a', CAST(event_id AS VARCHAR(20)), '@x.example.org</b>',
   repeat('<u> far </u>', CAST(event_id % 50 AS INT)), CASE WHEN event_id % 2 = 0 THEN 'or me@y.example.net' ELSE '' END, '</div>') END AS html FROM {events}"""
 
 
 @query(rf"""WITH h AS ({_HTML.format(events='events')}), m AS (SELECT id, html, unnest(regexp_extract_all(html, '{ADDRESS}')) AS email FROM h),
 p AS (SELECT *, instr(html, email) - 1 AS pos FROM m), c AS (SELECT id, email, substr(html, greatest(pos - 350, 0) + 1, pos + length(email) + 350 - greatest(pos - 350, 0)) AS part FROM p)
-SELECT id, email, array_to_string(list_filter(list_transform(string_split_regex(part, '<[^>]*>'), lambda t: trim(t)), lambda t: t <> ''), ' ') AS context FROM c""")
+SELECT id, email, array_to_string(list_filter(list_transform(string_split_regex(part, '<[^>]*>'), lambda t: trim(replace(t, '&amp;', '&'))), lambda t: t <> ''), ' ') AS context FROM c""")
 def email_contexts(spark, sf_dir):
     pages = spark.sql(_HTML, events=spark.read.parquet(f"{sf_dir}/events.parquet"))
-    return pages.select("id", F.inline(address_contexts(F.col("html"))))
+    return pages.select("id", F.inline(markup.contexts(F.col("html"), ADDRESS, RADIUS)))
 
 
 def alert_key(mode: str, *parts: Column) -> Column:

@@ -47,6 +47,22 @@ def latest_release(files: DataFrame, release: str = "latest") -> DataFrame:
     return dated.crossJoin(newest).filter(F.col("release") == F.col("__newest")).drop("__newest")
 
 
+def read_release(spark: SparkSession, root: str, release: str = "latest", pattern: str = r"[^/]+\.parquet") -> DataFrame:
+    """The rows of one dt= directory below root, the newest by default, with the release and the file that each is from."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(root)
+    names = [s.getPath().getName() for s in at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at) if s.isDirectory()]
+    found = [n.removeprefix("dt=") for n in names if n.startswith("dt=")]
+    if release.lower() == "latest":
+        if not found:
+            raise ValueError(f"there is no release in {root}")
+        release = max(found)
+    elif not re.fullmatch(r"\d{4}-\d{2}-\d{2}", release):
+        raise ValueError("a release is YYYY-MM-DD or latest")
+    rows = spark.read.option("recursiveFileLookup", "true").parquet(f"{root}/dt={release}")
+    file = F.regexp_extract(F.col("_metadata.file_path"), pattern + "$", 0)
+    return rows.select("*", F.lit(release).alias("release"), file.alias("source_file"))
+
+
 def write_parquet(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
 
@@ -56,6 +72,16 @@ def write_csv(df: DataFrame, path: str, columns: list[str]) -> None:
     df.select(*columns).write.mode("overwrite").option("header", True).csv(path)
 
 
+BOM = "\ufeff"
+
+
+def write_export(df: DataFrame, path: str, columns: list[str]) -> None:
+    """The named columns as CSV for spreadsheets: every part begins with a byte order mark and the header; columns that df has not stay empty."""
+    chosen = [F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in columns]
+    # the mark is a part of the first name, so that Spark's own writer puts it first
+    df.select(*chosen).withColumnRenamed(columns[0], BOM + columns[0]).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+
+
 def write_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 

@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from prospectra.functions import markup
 from prospectra.functions import text as X
 from prospectra.operators import graph, merge
 from prospectra.plans import catalogue
@@ -74,3 +75,31 @@ def test_files(spark, tmp_path):
     assert tables.manifest(spark, f"{tmp_path}/p", True).filter("length(sha256) = 64").count() > 0
     with pytest.raises(Exception):
         tables.restore(df, f"{tmp_path}/p")
+
+
+def test_export_has_a_mark_and_fixed_columns(spark, tmp_path):
+    df = spark.createDataFrame([("a \"b\", c", 1, "x"), (None, 2, "y")], "name string, n int, extra string").coalesce(1)
+    tables.write_export(df, f"{tmp_path}/x", ["name", "phone", "n"])
+    (part,) = (tmp_path / "x").glob("*.csv")
+    assert part.read_bytes().startswith(b"\xef\xbb\xbfname,phone,n")
+    assert part.read_text("utf-8-sig").splitlines()[1:] == ['"a ""b"", c",,1', ",,2"]
+
+
+def test_releases(spark, tmp_path):
+    for day, n in (("2026-01-31", 2), ("2026-02-01", 3)):
+        spark.range(n).coalesce(1).write.parquet(f"{tmp_path}/r/dt={day}/places")
+    (tmp_path / "r" / "LATEST").write_text("x")
+    newest = tables.read_release(spark, f"{tmp_path}/r", "LATEST").collect()
+    assert len(newest) == 3 and {r["release"] for r in newest} == {"2026-02-01"} and all(r["source_file"].startswith("part-") for r in newest)
+    assert tables.read_release(spark, f"{tmp_path}/r", "2026-01-31").count() == 2
+    for bad in ("31-01-2026", "2026"):
+        with pytest.raises(ValueError):
+            tables.read_release(spark, f"{tmp_path}/r", bad)
+
+
+def test_contexts_decode_and_take_linear_time(spark):
+    html = "<p>Fish &amp; Chips</p><script>no@x.org</script> ok@x.example.org <b>&eacute;</b>" + "<i>pad</i>" * 100
+    rows = spark.createDataFrame([(1, html), (2, None), (3, ""), (4, "a1@b.org " * 20_000)], "id int, html string")
+    got = {r["id"]: r["c"] for r in rows.select("id", markup.contexts(F.col("html"), r"[a-z0-9]+@[a-z.]+[a-z]", 60).alias("c")).collect()}
+    assert [c["email"] for c in got[1]] == ["no@x.org", "ok@x.example.org"] and got[1][1]["context"].startswith("Fish & Chips ok@x.example.org é pad")
+    assert got[2] == got[3] == [] and len(got[4]) == 20_000
