@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import campaign, captured, dedup, diagnostics, evidence, lifecycles, listings, manifests, payloads, presence, queues, records, requests, upkeep, warehouse
+from . import campaign, captured, dedup, diagnostics, evidence, lifecycles, listings, manifests, payloads, presence, queues, records, reports, requests, upkeep, warehouse
 from .registry import Query
 
-MODULES = [warehouse, diagnostics, presence, queues, records, captured, upkeep, dedup, lifecycles, payloads, requests, campaign, manifests, listings, evidence]
+MODULES = [warehouse, diagnostics, presence, queues, records, captured, upkeep, dedup, lifecycles, payloads, requests, campaign, manifests, listings, evidence, reports]
 
 
 def queries() -> dict[str, Query]:
