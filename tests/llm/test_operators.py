@@ -363,12 +363,14 @@ def test_odd_and_empty_tables(spark, small, odd, empty, tmp_path):
     for name, docs in (("odd", odd), ("empty", empty)):
         d = f"file://{tmp_path}/{name}"
         docs.write.parquet(f"{d}/documents.parquet")
-        for t in ("benchmark", "labels", "pages"):
+        for t in ("benchmark", "labels", "pages", "embeddings"):
             table = spark.read.parquet(f"{small}/{t}.parquet")
             (table if name == "odd" else table.limit(0)).write.parquet(f"{d}/{t}.parquet")
         for q, f in queries.queries().items():
             n = f(spark, d).count()
-            assert q in ("pipeline", "op8_html_extraction") or n == docs.count(), q
+            assert q in ("pipeline", "op8_html_extraction", "op12_filter_audit", "op13_lattice_dedup") or n == docs.count(), q
+            assert q != "op12_filter_audit" or n == 600 * docs.select(F.coalesce("lang", F.lit(""))).distinct().count()
+            assert q != "op13_lattice_dedup" or n == (500 if name == "odd" else 0)
 
 
 def test_toxicity_ignores_the_labels_of_the_held_out(spark, small):
