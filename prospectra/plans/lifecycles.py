@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.scratch import shared_dir
+from ..operators.scratch import adopt, shared_dir
 from ..streaming import events as S
 from ..streaming import lifecycle
 from .fixtures import VIEWS
@@ -86,8 +86,9 @@ def request_lifecycles(spark, sf_dir):
 def to_the_end(spark: SparkSession, made: DataFrame, name: str) -> DataFrame:
     """All that a stream gives for the files there now, as a table in the shared folder."""
     at = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    S.run_to_table(made, f"{at}/rows", f"{at}/progress")
-    return spark.read.schema(made.schema).parquet(f"{at}/rows")
+    adopt(at, f"{at}-progress")
+    S.run_to_table(made, at, f"{at}-progress")
+    return spark.read.schema(made.schema).parquet(at)
 
 
 @query(FOLD)
