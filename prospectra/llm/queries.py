@@ -14,54 +14,54 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_substring_dedup(spark, sf_dir):
-    """Per document what repeats earlier text; null and empty texts stay as they are, rows without an id come last, rows equal in id and text get one result."""
+    """Per document what repeats earlier text; null and empty texts stay as they are, rows without an id come last, rows equal in id and text get one result each alike, an empty table gives none; other columns are not read, whatever their names."""
     return substring_dedup.dedup_report(_table(spark, sf_dir, "documents"))
 
 
 def op2_toxicity(spark, sf_dir):
-    """Per document a score and toxic spans; null, empty and wordless texts get the score of no toxic token, equal rows each a row, an empty table none."""
+    """Per document a score and toxic spans; null, empty and wordless texts get the score of no toxic token, equal rows each a row, an empty table none; other columns are not read, whatever their names."""
     docs = _table(spark, sf_dir, "documents")
     scorer = toxicity.fit(docs, _table(spark, sf_dir, "labels"))
     return toxicity.toxicity_report(docs, scorer)
 
 
 def op3_decontamination(spark, sf_dir):
-    """Per document the words inside benchmark windows; null and empty texts have no words, equal rows each a row, a null item_id counts as 'null'."""
+    """Per document the words inside benchmark windows; null and empty texts have no words, equal rows each a row, a null item_id counts as 'null', an empty table gives none; other columns are not read, whatever their names."""
     return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
 def op4_simhash(spark, sf_dir):
-    """Per document its fingerprint and component; null and empty texts have fingerprint zero and link like any other, null ids never name a component with an id."""
+    """Per document its fingerprint and component; null and empty texts have fingerprint zero and link like any other, null ids never name a component with an id, equal rows each a row, an empty table gives none; other columns are not read, whatever their names."""
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
 def op5_token_counts(spark, sf_dir):
-    """Per document its bytes and tokens; a null text counts as empty, equal rows each a row."""
+    """Per document its bytes and tokens; a null text counts as empty, equal rows each a row, an empty table gives none; other columns are not read, whatever their names."""
     return token_counts.token_report(_table(spark, sf_dir, "documents"))
 
 
 def op6_license_scan(spark, sf_dir):
-    """Per document its licences; null, empty and one-word texts have none, of overlapping runs the best counts."""
+    """Per document its licences; null, empty and one-word texts have none, of overlapping runs the best counts, equal rows each a row, an empty table gives none; other columns are not read, whatever their names."""
     return license_scan.license_report(_table(spark, sf_dir, "documents"))
 
 
 def op7_quality_rules(spark, sf_dir):
-    """Per document base counts and verdict; null and empty texts fail the base rule, without labels nothing else is rejected."""
+    """Per document base counts and verdict; null and empty texts fail the base rule, without labels nothing else is rejected, equal rows each a row, an empty table gives none; other columns are not read, whatever their names."""
     return quality.quality_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
 def op8_html_extraction(spark, sf_dir):
-    """Per page its main text; null and empty pages give an empty text, open and stray tags never fail."""
+    """Per page its main text; null and empty pages give an empty text, open and stray tags never fail, equal rows each a row, an empty table gives none; other columns are not read, whatever their names."""
     return html_extract.extract(_table(spark, sf_dir, "pages"))
 
 
 def op9_bpe(spark, sf_dir):
-    """Per document digests of its ids and of the decoded text; a null text counts as empty."""
+    """Per document digests of its ids and of the decoded text; a null text counts as empty, equal rows each a row, an empty table gives none; other columns are not read, whatever their names."""
     return bpe.bpe_report(_table(spark, sf_dir, "documents"))
 
 
 def op10_secret_scan(spark, sf_dir):
-    """Per document its secrets; a null text has none, equal rows each a row."""
+    """Per document its secrets; a null text has none, equal rows each a row, an empty table gives none; other columns are not read, whatever their names."""
     return secret_scan.secret_report(_table(spark, sf_dir, "documents"))
 
 
