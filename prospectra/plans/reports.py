@@ -196,3 +196,34 @@ def warehouse_checks(spark, sf_dir):
         "outside_country": spark.read.parquet(f"{sf_dir}/customer.parquet").join(nation, "c_nationkey"),
     }
     return reduce(lambda a, b: a.crossJoin(b), [t.agg(F.count("*").alias(name)) for name, t in counts.items()])  # one row each
+
+
+# ---- snapshots
+
+VIEWS["old_carriers"] = f"SELECT s_suppkey AS k, concat('old ', CAST(s_suppkey AS {_T})) AS name, s_suppkey % 4 <> 0 AS is_current FROM {{supplier}} WHERE s_suppkey % 5 <> 0"
+VIEWS["new_carriers"] = f"SELECT s_suppkey AS k, CASE WHEN s_suppkey % 3 = 0 THEN concat('old ', CAST(s_suppkey AS {_T})) WHEN s_suppkey % 7 <> 0 THEN concat('new ', CAST(s_suppkey AS {_T})) END AS name, CASE WHEN s_suppkey % 6 <> 1 THEN concat('m', CAST(s_suppkey AS {_T}), '@x.example.net') END AS email FROM {{supplier}} WHERE s_suppkey % 4 <> 1"
+
+
+@query("""SELECT coalesce(n.k, o.k) AS k, CASE WHEN n.k IS NOT NULL THEN n.name ELSE o.name END AS name, n.k IS NOT NULL AS is_current, CASE WHEN n.k IS NULL THEN 'retired' WHEN o.k IS NULL THEN 'new' WHEN n.name IS DISTINCT FROM o.name THEN 'changed' WHEN NOT o.is_current THEN 'returned' ELSE 'kept' END AS change
+FROM new_carriers n FULL OUTER JOIN old_carriers o ON n.k = o.k""")
+def snapshot_changes(spark, sf_dir):
+    """A table after its next snapshot: rows of the snapshot are current with their new fields, nulls included, all others are not."""
+    old, new = view(spark, sf_dir, "old_carriers"), view(spark, sf_dir, "new_carriers").select("k", "name")
+    made = merge.snapshot_currency(old, new, "k")
+    was = old.select("k", F.col("name").alias("was"), F.col("is_current").alias("was_current"), F.lit(True).alias("there"))
+    change = (
+        F.when(~F.col("is_current"), "retired").when(F.col("there").isNull(), "new").when(~F.col("name").eqNullSafe(F.col("was")), "changed").when(~F.col("was_current"), "returned").otherwise("kept")
+    )
+    return made.join(was, "k", "left").select("k", "name", "is_current", change.alias("change"))
+
+
+@query("""WITH t AS (SELECT coalesce(n.k, o.k) AS k, n.k IS NOT NULL AS is_current FROM new_carriers n FULL OUTER JOIN old_carriers o ON n.k = o.k)
+SELECT (SELECT count(*) FROM new_carriers WHERE email IS NOT NULL) AS matching, (SELECT count(*) FROM t WHERE is_current) AS current_rows, (SELECT count(DISTINCT email) FROM new_carriers) AS emails,
+  (SELECT count(*) FROM new_carriers WHERE email IS NOT NULL) = (SELECT count(*) FROM t WHERE is_current) AND (SELECT count(*) FROM t WHERE is_current) = (SELECT count(DISTINCT email) FROM new_carriers) AS is_ready""")
+def snapshot_counts_agree(spark, sf_dir):
+    """Whether staged rows, current rows and their addresses are equally many."""
+    new = view(spark, sf_dir, "new_carriers")
+    made = merge.snapshot_currency(view(spark, sf_dir, "old_carriers"), new.select("k", "name"), "k")
+    one = new.agg(F.count("email").alias("matching"), F.count_distinct("email").alias("emails")).crossJoin(made.agg(F.count_if("is_current").alias("current_rows")))  # one row each
+    agree = (F.col("matching") == F.col("current_rows")) & (F.col("current_rows") == F.col("emails"))
+    return one.select("matching", "current_rows", "emails", agree.alias("is_ready"))
