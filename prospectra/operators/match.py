@@ -6,6 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from .scratch import written
+from .spread import partitions
+
+#: Rows of either side in a tile of a large phone's pairs.
+TILE = 2048
 
 
 def keyed(ent: DataFrame) -> DataFrame:
@@ -53,6 +58,8 @@ def source_matches(left: DataFrame, right: DataFrame, best_only: bool = False) -
     """
     a = keyed(left).select(F.col("place_id").alias("left_id"), *KEYS)
     b = keyed(right).select(F.col("place_id").alias("right_id"), *[F.col(k).alias(f"r_{k}") for k in KEYS])
+    if not best_only:
+        return _all_matches(a, b)
     named, zipped = F.length("name_key") >= 4, F.length("zip5") == 5
     called = F.coalesce(F.col("phone_key") == F.col("r_phone_key"), F.lit(False))
     arm = lambda rows, on, e, p, n, z: rows.join(b, [F.col(k) == F.col(f"r_{k}") for k in on]).select(
@@ -61,13 +68,73 @@ def source_matches(left: DataFrame, right: DataFrame, best_only: bool = False) -
     same_zip = (F.col("zip5") == F.col("r_zip5")) & (F.col("zip5") != "")
     every = arm(a.filter(named & X.is_usable("email_key")), ["email_key", "name_key"], True, called, True, same_zip)
     every = every.unionByName(arm(a.filter(named & zipped), ["name_key", "zip5"], False, called, True, F.lit(True)))
-    if best_only:
-        b = b.groupBy("r_phone_key").agg(F.min("right_id").alias("right_id"))
+    b = b.groupBy("r_phone_key").agg(F.min("right_id").alias("right_id"))
     every = every.unionByName(arm(a.filter(F.col("phone_key").isNotNull()), ["phone_key"], False, F.lit(True), False, F.lit(False)))
-    flags = ["email_match", "phone_match", "name_match", "postcode_match"]
-    return every.groupBy("left_id", "right_id").agg(*[F.bool_or(f).alias(f) for f in flags])
+    return united(every)
+
+
+def united(pairs: DataFrame) -> DataFrame:
+    return pairs.groupBy("left_id", "right_id").agg(*[F.bool_or(f).alias(f) for f in FLAGS])
+
+
+def _all_matches(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Every pair of the three arms.
+
+    A pair of rows comes from one arm only and has all its flags from there, so
+    pairs need no grouping, but for ids that several rows of a side have.
+    """
+    a, b = written(_repeated(a, "left_id"), "left"), written(_repeated(b, "right_id"), "right")
+    a1, a2, b1, b2 = a.filter("not twice"), a.filter("twice"), b.filter("not twice"), b.filter("twice")
+    every = _pairs(a1, b1)
+    for again, some, more in ((a2, a2, b), (b2, a1, b2)):
+        if not again.isEmpty():
+            every = every.unionByName(united(_pairs(some, more)))
+    return every
+
+
+def _repeated(rows: DataFrame, key: str) -> DataFrame:
+    """Rows with twice: whether the key is null or another row's too."""
+    often = rows.groupBy(key).agg((F.count("*") > 1).alias("twice"))
+    return rows.join(often, key, "left").withColumn("twice", F.coalesce("twice", F.lit(True)))
+
+
+def _pairs(a: DataFrame, b: DataFrame) -> DataFrame:
+    """A row for each pair of rows that an arm joins: by phone with the flags of the other arms, by e-mail and name without a phone, by name and postcode without either."""
+    a, b = a.drop("twice"), b.drop("twice")
+    is_ = lambda c: F.coalesce(c, F.lit(False))
+    same = lambda *on: is_(F.expr(" and ".join(f"{k} = r_{k}" for k in on)))
+    named, zipped, usable = F.length("name_key") >= 4, F.length("zip5") == 5, X.is_usable("email_key")
+    by_email, by_zip = same("email_key", "name_key") & is_(named & usable), same("name_key", "zip5") & is_(named & zipped)
+    same_zip = (F.col("zip5") == F.col("r_zip5")) & (F.col("zip5") != "")
+    flags = lambda *cs: [c.alias(f) for c, f in zip(cs, FLAGS)]
+    join = lambda rows, *on: rows.join(b, [F.col(k) == F.col(f"r_{k}") for k in on])
+    no, yes = F.lit(False), F.lit(True)
+    phone = tiled(a, b, "phone_key", "r_phone_key", "left_id", "right_id").select("left_id", "right_id", *flags(by_email, yes, by_email | by_zip, is_(by_email & same_zip) | by_zip))
+    email = join(a.filter(named & usable), "email_key", "name_key").filter(~same("phone_key")).select("left_id", "right_id", *flags(yes, no, yes, same_zip))
+    zip_ = join(a.filter(named & zipped), "name_key", "zip5").filter(~same("phone_key") & ~by_email).select("left_id", "right_id", *flags(no, no, yes, yes))
+    return phone.unionByName(email).unionByName(zip_)
 
 
+def tiled(a: DataFrame, b: DataFrame, key: str, other: str, a_id: str, b_id: str) -> DataFrame:
+    """a and b joined where key equals other, the pairs of a large group cut into tiles of about TILE rows on either side.
+
+    A row goes to each tile of its row or column of tiles, so a group costs its
+    pairs, but no task gets more than its tiles.  Large groups are few: each has
+    more than TILE rows on one side.
+    """
+    big = a.groupBy(key).agg(F.count("*").alias("m")).join(b.groupBy(F.col(other).alias(key)).agg(F.count("*").alias("n")), key)
+    big = big.filter(F.greatest("m", "n") > TILE).select(key, F.ceil(F.col("m") / TILE).cast("int").alias("xs"), F.ceil(F.col("n") / TILE).cast("int").alias("ys"))
+    size = lambda c: F.coalesce(c, F.lit(1))
+    part = lambda c, n: F.pmod(F.xxhash64(c), size(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), size(n) - 1))
+    n = partitions(a, 16)
+    tiles = lambda rows, k: rows.filter(F.col(k).isNotNull()).join(F.broadcast(big.withColumnRenamed(key, "of")), F.col(k) == F.col("of"), "left")
+    left = tiles(a, key).select(*a.columns, part(a_id, "xs").alias("x"), each("ys").alias("y")).repartition(n, key, "x", "y")
+    right = tiles(b, other).select(*b.columns, part(b_id, "ys").alias("r_y"), each("xs").alias("r_x")).repartition(n, other, "r_x", "r_y")
+    return left.join(right, (F.col(key) == F.col(other)) & (F.col("x") == F.col("r_x")) & (F.col("y") == F.col("r_y"))).drop("x", "y", "r_x", "r_y")
+
+
+FLAGS = ["email_match", "phone_match", "name_match", "postcode_match"]
 KEYS = ["name_key", "zip5", "phone_key", "email_key"]
 
 
