@@ -6,6 +6,8 @@ checks the type before it takes a value, and gives null otherwise.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +22,8 @@ LATITUDE, LONGITUDE, HOURS, CLOSURE, OWNER, LAST = "$[9][2]", "$[9][3]", "$[203]
 ID_PREFIX, MAPS = "ChIJ", "https://www.google.com/maps/search/?api=1&query="
 #: JSON of more nested arrays than this is refused by the parser, so a walk ends.
 DEEPEST = 1000
+#: Levels that the walk goes down between two tables.
+LEVELS = 8
 
 
 def slot(v: Column, path: str) -> Column:
@@ -61,17 +65,22 @@ def unguarded(raw: Column) -> Column:
     return F.when(text.startswith(GUARD), F.regexp_replace(F.substring(text, len(GUARD) + 1, 2**31 - 1), r"^[\r\n]+", "")).otherwise(text)
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """An expression of a value that is computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def frames(raw: Column) -> Column:
     """(declared, body) of an answer's frames: lines that hold an array, with the number on the line before, if it is one."""
-    lines = F.transform(F.split(unguarded(raw), r"\r\n|\r|\n"), lambda x: F.trim(x))
-    before = F.slice(F.concat(F.array(F.lit(None).cast("string")), lines), F.lit(1), F.size(lines))
-    made = F.zip_with(before, lines, lambda n, x: F.struct(F.when(n.rlike(r"^\d{1,9}$"), n.try_cast("int")).alias("declared"), x.alias("body")))
+    lines = F.transform(F.split(once(raw, unguarded), r"\r\n|\r|\n"), lambda x: F.trim(x))
+    frame = lambda n, x: F.struct(F.when(n.rlike(r"^\d{1,9}$"), n.try_cast("int")).alias("declared"), x.alias("body"))
+    made = once(lines, lambda ls: F.transform(ls, lambda x, i: frame(F.get(ls, i - 1), x)))
     return F.filter(made, lambda f: f["body"].startswith("["))
 
 
 def honest(frame: Column) -> Column:
     """Whether a frame is as long as declared: its UTF-16 units and the line ends on both sides of it."""
-    units = F.length(frame["body"]) + F.length(F.regexp_replace(frame["body"], r"[^\x{10000}-\x{10FFFF}]", ""))
+    units = F.length(frame["body"]) + F.regexp_count(frame["body"], F.lit(r"[\x{10000}-\x{10FFFF}]"))
     return F.coalesce(frame["declared"] == units + 2, F.lit(False))
 
 
@@ -93,24 +102,32 @@ def is_place(v: Column) -> Column:
     return F.coalesce(shape, F.lit(False))
 
 
+def _arrays(items: Column, path: Callable[[Column], Column]) -> Column:
+    """(path, v, place) of the elements that are arrays and not empty."""
+    made = F.transform(items, lambda v, i: F.when(slot(v, "$[0]").isNotNull(), F.struct(path(i).alias("path"), v.alias("v"), is_place(v).alias("place"))))
+    return F.array_compact(made)
+
+
 def places_in(rows: DataFrame, key: str, value: str) -> DataFrame:
     """(key, place_id, path, place) of the place arrays anywhere inside nested arrays, each id where a depth-first walk meets it first.
 
-    The walk goes down one level at a time, all rows at once, and never below a
-    place; a level's open arrays are written, so nothing is read twice.  The
-    path, the positions from the top, orders what the walk finds.
+    The walk goes down some levels at a time, all rows at once, and never below
+    a place; then the places and the open arrays are written, so nothing is read
+    twice.  The path, the positions from the top, orders what the walk finds.
     """
-    spark = rows.sparkSession
-    level = rows.select(F.col(key).alias("key"), F.array().cast("array<int>").alias("path"), F.col(value).alias("v")).filter(list_at(F.col("v")).isNotNull())
+    none = F.array().cast("array<int>")
+    level = rows.select(F.col(key).alias("key"), F.inline(_arrays(F.array(value), lambda i: none)))
     found = None
-    for _ in range(DEEPEST):
-        level = written(level.withColumn("place", is_place(F.col("v"))), "walk")
+    for _ in range(0, DEEPEST, LEVELS):
+        for _ in range(LEVELS):
+            deeper = _arrays(list_at(F.col("v")), lambda i: F.array_append("path", i))
+            level = level.select("key", F.inline(F.when(F.col("place"), F.array(F.struct("path", "v", "place"))).otherwise(deeper)))
+        level = written(level, "walk")
         here = level.filter("place").select("key", "path", F.col("v").alias("place"))
         found = here if found is None else found.unionByName(here)
-        if level.filter("not place").isEmpty():
+        level = level.filter("not place")
+        if level.isEmpty():
             break
-        below = spark.sql("SELECT f.key, array_append(f.path, x.pos) AS path, x.value AS v FROM {f} AS f, LATERAL variant_explode(f.v) AS x WHERE NOT f.place", f=level)
-        level = below.filter(list_at(F.col("v")).isNotNull())
     named = found.withColumn("place_id", text_at(F.col("place"), PLACE_ID))
     first = named.groupBy("key", "place_id").agg(F.min("path").alias("path"))
     return named.join(first, ["key", "place_id", "path"]).select(F.col("key").alias(key), "place_id", "path", "place")

@@ -11,6 +11,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.spread import spread
+
 VIEWS: dict[str, str] = {
     # three sources of business entities
     "ent": """
@@ -160,13 +162,19 @@ FROM {events}""",
 TABLES = "region nation customer supplier part orders lineitem events documents pages".split()
 
 
+#: Views that make long texts of narrow rows.
+WIDE = {"rpc_places", "rpc_answers", "dd_rows", "raw_requests", "listing_cards", "listing_panes"}
+
+
 def needs(name: str) -> list[str]:
     return [t for t in TABLES if "{" + t + "}" in VIEWS[name]]
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A fixture as a DataFrame."""
+    """A fixture as a DataFrame; those of WIDE take their rows from all cores."""
     tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in needs(name)}
+    if name in WIDE:
+        tables = {t: spread(rows) for t, rows in tables.items()}
     return spark.sql(VIEWS[name], **tables)
 
 

@@ -1,10 +1,14 @@
 """Work that grew faster than its input, or stood in one task: the cheaper forms give what the plain ones gave."""
 
+import json
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
-from prospectra.operators import match
+from prospectra.functions import payloads
+from prospectra.operators import match, scratch
+from prospectra.plans import fixtures
 
 
 def test_all_matches_of_large_phones_and_repeated_ids(spark, monkeypatch):
@@ -42,3 +46,29 @@ def test_a_large_phone_is_cut_into_tiles(spark, monkeypatch):
     assert made.select("left_id", "right_id").distinct().count() == made.count() == 160_000
     most = made.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
     assert most < 60_000  # one task had all
+
+
+@pytest.mark.parametrize("name", sorted(fixtures.WIDE))
+def test_wide_views_are_made_by_all_cores(spark, small, name):
+    """A small file is one row group, hence one task before."""
+    assert fixtures.view(spark, small, name).rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+
+
+def test_lengths_of_frames_in_linear_time(spark):
+    body = "[" + "é" * 5 + "😀" * 3 + "x" * 200_000 + "]"
+    raw = f"{len(body) + 3 + 2}\r\n{body}\n7\n[1]\n[2]"
+    df = spark.createDataFrame([(raw,)] * 20, "raw string").select(F.transform(payloads.frames(F.col("raw")), lambda f: F.struct(f["declared"], payloads.honest(f))).alias("f"))
+    assert {tuple(map(tuple, r["f"])) for r in df.collect()} == {((len(body) + 5, True), (7, False), (None, False))}
+    assert "regexp_replace(f" not in str(payloads.honest(F.col("f")))  # a match for every character
+
+
+def test_walk_writes_few_tables(spark, monkeypatch):
+    """Places below more levels than one table holds; a table was written for each level."""
+    place = [None] * 179
+    place[9], place[11], place[78] = [0, 0, 1, 2], "Shop", "ChIJx"
+    text, made = json.dumps(place), []
+    monkeypatch.setattr(payloads, "written", lambda df, name: made.append(name) or scratch.written(df, name))
+    rows = spark.createDataFrame([(i, "[" * n + f"[],{text}" + "]" * n) for i, n in enumerate((1, 3, 9, 20))] + [(9, text), (10, "[]"), (11, "[null,[]]")], "id int, p string")
+    got = payloads.places_in(rows.select("id", F.try_parse_json("p").alias("v")), "id", "v").select("id", F.size("path"), F.get("path", F.size("path") - 1)).collect()
+    assert sorted(map(tuple, got)) == [(0, 1, 1), (1, 3, 1), (2, 9, 1), (3, 20, 1), (9, 0, None)]
+    assert len(made) == 3
