@@ -157,8 +157,20 @@ def pieces(markup: str, of: Callable[[str], dict], schema: str) -> Column:
     return F.pandas_udf(batch, schema)(markup)
 
 
+#: A tag or comment as TAG finds it, without its parts, and any element whose content is hidden.
+BETWEEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^<>]*>|</?[a-zA-Z][^\s/<>]*(?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+>", re.S)
+HIDES = re.compile("<(?:" + "|".join(sorted(HIDDEN)) + ")", re.I)
+
+
 def visible(fragment: str) -> str:
-    """The strings of a piece of markup, parted by blanks; it may begin and end inside a tag."""
+    """The strings of a piece of markup, parted by blanks; it may begin and end inside a tag.
+
+    Where nothing is hidden, elements don't matter: the strings are what stands between tags.
+    """
+    if not HIDES.search(fragment):
+        if "&" in fragment:
+            return " ".join(s for x in BETWEEN.split(fragment) if (s := html.unescape(x).strip()))
+        return " ".join(s for x in BETWEEN.split(fragment) if (s := x.strip()))
     return " ".join(s for x in read(fragment).strings if (s := x.strip()))
 
 

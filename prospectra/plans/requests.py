@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import payloads as P
+from ..operators.scratch import written
 from .fixtures import VIEWS, view
 from .payloads import _case, _filled
 from .registry import Registry
@@ -68,20 +69,29 @@ def asset(v: Column, user: Column) -> Column:
     return F.struct(path.alias("path"), name.alias("name"), mime.alias("mime"), bytes_.alias("bytes"), F.coalesce(good, F.lit(False)).alias("good"))
 
 
-def judged(requests: DataFrame, stored: DataFrame) -> DataFrame:
-    """Requests with their offerings and files read, and the first reason to refuse each, if any."""
+def read_requests(requests: DataFrame) -> DataFrame:
+    """Requests with their offerings and files read: the lists o and a, null where the text is no list."""
     read = requests.withColumns({"o": P.list_at(F.try_parse_json("offerings")), "a": P.list_at(F.try_parse_json("assets"))})
-    read = read.withColumns({"o": F.transform("o", offering), "a": F.transform("a", lambda v: asset(v, F.col("user_id")))})
-    files = read.select("id", "user_id", F.explode(F.when(F.size("a") <= MOST_ASSETS, F.col("a"))).alias("f"))
-    kept = stored.select(F.col("owner_id").alias("user_id"), F.col("name").alias("path")).distinct()
-    lost = files.select("id", "user_id", F.col("f.path").alias("path")).join(kept, ["user_id", "path"], "left_anti").select("id").distinct().withColumn("lost", F.lit(True))
+    return read.withColumns({"o": F.transform("o", offering), "a": F.transform("a", lambda v: asset(v, F.col("user_id")))})
+
+
+def judged(requests: DataFrame, stored: DataFrame) -> DataFrame:
+    """(id, o, a, reason): requests with their offerings and files, and the first reason to refuse each, if any.
+
+    All that a request tells by itself is judged first, so the search for its
+    files moves no texts.
+    """
     long = lambda c, n: F.coalesce(F.length(F.trim(c)) > n, F.lit(False))
     tests = [
         ~F.coalesce(F.col("plan_id").isin(PLANS), F.lit(False)), ~F.coalesce(F.size("o").between(1, MOST_OFFERINGS), F.lit(False)), ~F.coalesce(F.col("a").isNotNull() & (F.size("a") <= MOST_ASSETS), F.lit(False)),
-        long("photo_brief", NOTE) | long("additional_notes", MORE_NOTES), F.exists("o", lambda x: F.size(x["errors"]) > 0), F.exists("a", lambda x: ~x["good"]) | F.coalesce("lost", F.lit(False)),
+        long("photo_brief", NOTE) | long("additional_notes", MORE_NOTES), F.exists("o", lambda x: F.size(x["errors"]) > 0), F.exists("a", lambda x: ~x["good"]),
     ]
-    reason = F.coalesce(*[F.when(t, name) for t, name in zip(tests, REASONS)])
-    return read.join(lost, "id", "left").withColumn("reason", reason)
+    alone = F.coalesce(*[F.when(t, name) for t, name in zip(tests, REASONS)])
+    read = written(read_requests(requests).select("id", "user_id", "o", "a", alone.alias("alone")), "requests")
+    files = read.filter(F.size("a") <= MOST_ASSETS).select("id", "user_id", F.explode("a.path").alias("path"))
+    kept = stored.select(F.col("owner_id").alias("user_id"), F.col("name").alias("path")).distinct()
+    lost = files.join(kept, ["user_id", "path"], "left_anti").select("id").distinct().withColumn("lost", F.lit(REASONS[-1]))
+    return read.join(lost, "id", "left").select("id", "o", "a", F.coalesce("alone", "lost").alias("reason"))
 
 
 def _judged(spark, sf_dir) -> DataFrame:
@@ -126,5 +136,5 @@ def request_assets(spark, sf_dir):
 @query(_READ + "SELECT id, position, array_to_string(errors, ',') AS errors FROM oe WHERE len(errors) > 0")
 def offering_errors(spark, sf_dir):
     """Each element that is not valid, with what is wrong in it."""
-    rows = _judged(spark, sf_dir).select("id", F.explode("o").alias("x")).filter(F.size("x.errors") > 0)
+    rows = read_requests(view(spark, sf_dir, "raw_requests")).select("id", F.explode(F.filter("o", lambda x: F.size(x["errors"]) > 0)).alias("x"))
     return rows.select("id", "x.position", F.array_join("x.errors", ",").alias("errors"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import markup
 from ..operators import merge
+from ..operators.spread import spread
 from .fixtures import view
 from .registry import Registry
 
@@ -102,7 +103,7 @@ _HTML = """SELECT event_id AS id, CASE WHEN event_id % 9 <> 0 THEN concat('<p>Sh
 p AS (SELECT *, instr(html, email) - 1 AS pos FROM m), c AS (SELECT id, email, substr(html, greatest(pos - 350, 0) + 1, pos + length(email) + 350 - greatest(pos - 350, 0)) AS part FROM p)
 SELECT id, email, array_to_string(list_filter(list_transform(string_split_regex(part, '<[^>]*>'), lambda t: trim(replace(t, '&amp;', '&'))), lambda t: t <> ''), ' ') AS context FROM c""")
 def email_contexts(spark, sf_dir):
-    pages = spark.sql(_HTML, events=spark.read.parquet(f"{sf_dir}/events.parquet"))
+    pages = spark.sql(_HTML, events=spread(spark.read.parquet(f"{sf_dir}/events.parquet")))
     return pages.select("id", F.inline(markup.contexts(F.col("html"), ADDRESS, RADIUS)))
 
 

@@ -6,9 +6,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from prospectra.functions import payloads
+from prospectra.functions import markup, payloads
 from prospectra.operators import match, scratch
-from prospectra.plans import fixtures
+from prospectra.plans import fixtures, requests
 
 
 def test_all_matches_of_large_phones_and_repeated_ids(spark, monkeypatch):
@@ -72,3 +72,23 @@ def test_walk_writes_few_tables(spark, monkeypatch):
     got = payloads.places_in(rows.select("id", F.try_parse_json("p").alias("v")), "id", "v").select("id", F.size("path"), F.get("path", F.size("path") - 1)).collect()
     assert sorted(map(tuple, got)) == [(0, 1, 1), (1, 3, 1), (2, 9, 1), (3, 20, 1), (9, 0, None)]
     assert len(made) == 3
+
+
+def test_strings_between_tags_equal_those_of_elements():
+    rng = random.Random(3)
+    bits = ["<p>", "</p>", "<b class=\"a>b\">", "<br/>", "<", ">", " x ", "&amp;", "&nbsp;", "&lt;i&gt;", "<!-- c <b> -->", "<!--", "-->", "<!doctype x>", "<?x?>", "'", "\"", "a=b", "</", "<1>", "é", "<script>", "</script>", "<STYLE a>", "\n", "<i", "<svg/>"]
+    for _ in range(20_000):
+        x = "".join(rng.choice(bits) for _ in range(rng.randint(0, 12)))
+        assert markup.visible(x) == " ".join(s for y in markup.read(x).strings if (s := y.strip())), x
+
+
+def test_contexts_build_no_elements(monkeypatch):
+    monkeypatch.setattr(markup, "read", lambda x: pytest.fail("elements are built"))
+    assert markup.visible("b>Fish &amp; <i>Chips</i> a <u") == "b>Fish & Chips a <u"
+
+
+def test_requests_cross_the_join_without_their_texts(spark, small):
+    """Only what is given on is moved; offerings' errors need no join at all."""
+    plan = requests.judged(*(fixtures.view(spark, small, v) for v in ("raw_requests", "stored_photos")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" in plan and "photo_brief" not in plan and "offerings" not in plan
+    assert "Join" not in requests.offering_errors(spark, small)._jdf.queryExecution().optimizedPlan().toString()
