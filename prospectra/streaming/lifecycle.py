@@ -167,17 +167,22 @@ def moved(s: dict, e: dict) -> None:
 
 
 class Lifecycle(StatefulProcessor):
-    """The state of one request at a time.  Ids of events that the watermark has passed are forgotten, as their copies are late."""
+    """The state of one request at a time.  Ids of events that the watermark has passed are forgotten, as their copies are late.
+
+    A request and its ids are one value: each read or write of a state is a
+    call to the executor's JVM, so a call for every event would cost more than
+    its step.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.request = handle.getValueState("request", STATE)
-        self.seen = handle.getMapState("seen", "event_id bigint", "at bigint")
+        self.request = handle.getValueState("request", f"{STATE}, ids array<bigint>, times array<bigint>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
         was = self.request.get() if self.request.exists() else None
         s = dict(zip(start(), was)) if was is not None else start()
         s["open"], s["known"] = list(s["open"]), list(s["known"])
+        seen = dict(zip(*was[-2:])) if was is not None else {}
         edge = timers.getCurrentWatermarkInMs()
         events = [{c: None if pd.isna(v) else v for c, v in e.items()} for part in rows for e in part.to_dict("records")]
         for e in events:  # pandas makes numbers with gaps floats
@@ -186,13 +191,11 @@ class Lifecycle(StatefulProcessor):
         for e in events:
             if e["event_id"] is None:
                 moved(s, e)
-            elif not self.seen.containsKey((e["event_id"],)):
-                self.seen.updateValue((e["event_id"],), (int(e["happened_at"].timestamp() * 1000),))
+            elif e["event_id"] not in seen:
+                seen[e["event_id"]] = int(e["happened_at"].timestamp() * 1000)
                 moved(s, e)
-        for (event_id,), (ms,) in list(self.seen.iterator()):
-            if ms < edge:
-                self.seen.removeKey((event_id,))
-        self.request.update(tuple(s.values()))
+        kept = {i: ms for i, ms in seen.items() if ms >= edge}
+        self.request.update((*s.values(), list(kept), list(kept.values())))
         made = {"request_id": [key[0]], **{c: [s[c]] for c in ("status", "payment", "hosting")}, "open_tickets": [len(s["open"])], **{c: [s[c]] for c in ("refused", "events")}}
         yield pd.DataFrame(made).astype({"open_tickets": "int32"})
 

@@ -3,12 +3,14 @@
 import json
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from prospectra.functions import markup, payloads
 from prospectra.operators import match, scratch
 from prospectra.plans import fixtures, requests
+from prospectra.streaming import lifecycle
 
 
 def test_all_matches_of_large_phones_and_repeated_ids(spark, monkeypatch):
@@ -92,3 +94,33 @@ def test_requests_cross_the_join_without_their_texts(spark, small):
     plan = requests.judged(*(fixtures.view(spark, small, v) for v in ("raw_requests", "stored_photos")))._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" in plan and "photo_brief" not in plan and "offerings" not in plan
     assert "Join" not in requests.offering_errors(spark, small)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_request_makes_few_calls_to_its_state():
+    """One read and one write of a request, however many events it has; copies count once, ids before the watermark are forgotten."""
+    calls = []
+
+    class Value:
+        kept = None
+
+        def exists(self):
+            return self.kept is not None
+
+        def get(self):
+            calls.append("get")
+            return self.kept
+
+        def update(self, value):
+            calls.append("update")
+            self.kept = value
+
+    value = Value()
+    handle = type("H", (), {"getValueState": lambda self, name, schema: value})()
+    timers = type("T", (), {"getCurrentWatermarkInMs": lambda self: 50_000})()
+    rows = lambda ids: pd.DataFrame([(7, i, pd.Timestamp(i, unit="s"), "ticket_opened", None, None, i, None) for i in ids], columns=[c.split()[0] for c in lifecycle.EVENT.split(", ")])
+    p = lifecycle.Lifecycle()
+    p.init(handle)
+    (one,) = p.handleInputRows((7,), iter([rows(range(100)), rows(range(100))]), timers)
+    (two,) = p.handleInputRows((7,), iter([rows(range(60, 110))]), timers)
+    assert one.events[0] == 100 and two.events[0] == 110 and calls == ["update", "get", "update"]
+    assert sorted(value.kept[-2]) == list(range(50, 110))
