@@ -37,10 +37,11 @@ def disjoint_pairs(rows: DataFrame, keys: list[str], low: int, high: int, reason
     blocks = rows.groupBy(*keys).agg(F.count("*").alias("n")).filter(F.col("n").between(low, high)).select(*keys)
     if touched is not None:
         blocks = blocks.join(rows.join(touched, "entity_id", "left_semi").select(*keys).distinct(), keys, "left_semi")
-    members = rows.join(blocks, keys)
-    right = members.select(*keys, F.col("entity_id").alias("right_id"), F.col("sources").alias("right_sources"))
-    apart = (F.col("right_id") > F.col("entity_id")) & ~F.arrays_overlap("sources", "right_sources")
-    return members.join(right, keys).filter(apart).select(F.col("entity_id").alias("left_id"), "right_id", F.lit(reason).alias("reason"))
+    # a block has high members at most, so its pairs are made where it is gathered
+    block = rows.join(blocks, keys).groupBy(*keys).agg(F.collect_list(F.struct("entity_id", "sources")).alias("m"))
+    apart = lambda a, b: (b["entity_id"] > a["entity_id"]) & ~F.arrays_overlap(a["sources"], b["sources"])
+    of = lambda a: F.transform(F.filter("m", lambda b: apart(a, b)), lambda b: F.struct(a["entity_id"].alias("left_id"), b["entity_id"].alias("right_id")))
+    return block.select(F.inline(F.flatten(F.transform("m", of)))).withColumn("reason", F.lit(reason))
 
 
 def entity_pairs(state: dict[str, DataFrame], touched: DataFrame | None = None) -> DataFrame:
@@ -147,25 +148,27 @@ CHILDREN: dict[str, tuple[list[str], Policy | None]] = {
 WRITTEN = ("entities", "places", "emails", "phones")
 
 
-def to_fixed_point(state: dict[str, DataFrame], most: int = 3) -> Merged:
+def to_fixed_point(state: dict[str, DataFrame], most: int = 3, logged: bool = True) -> Merged:
     """Passes of pairs, components and merges until one absorbs nothing, or most of them ran.
 
     state holds entities, places and any of CHILDREN.  Other children than
     those that pairs are made of stay lazy: a pass adds one join with its merge
-    map and one grouping to their plan.
+    map and one grouping to their plan.  Without logged no log is made.
     """
     if most < 1:
         raise ValueError("at least one pass is needed")
-    out = Merged(dict(state))
+    # each pass reads the tables of WRITTEN several times
+    out = Merged(state | {name: written(state[name], name) for name in WRITTEN})
     touched = None
     for number in range(1, most + 1):
         now = out.state
         pairs = written(entity_pairs(now, touched), "pairs")
         merged = written(merge_map(pairs, now["entities"]), "merged")
-        log = written(merge_log(merged, pairs, source_sets(now["places"]), number), "log")
-        n = log.count()
+        n = merged.count()  # each has places, or it would be in no pair
         out.passes.append((number, n))
-        out.log = log if out.log is None else out.log.unionByName(log)
+        if logged:
+            log = written(merge_log(merged, pairs, source_sets(now["places"]), number), "log")
+            out.log = log if out.log is None else out.log.unionByName(log)
         forget(pairs)
         if not n:
             forget(merged)
@@ -176,8 +179,7 @@ def to_fixed_point(state: dict[str, DataFrame], most: int = 3) -> Merged:
         for name in now.keys() & CHILDREN.keys():
             table = merged_children(now[name], merged, *CHILDREN[name])
             made[name] = written(table, name) if name in WRITTEN else table
-        if number > 1:
-            forget(*[now[name] for name in WRITTEN])
+        forget(*[now[name] for name in WRITTEN])
         out.state = now | made
         touched = merged.select(F.col("winner_id").alias("entity_id")).distinct()
     return out
@@ -189,7 +191,7 @@ def checks(state: dict[str, DataFrame]) -> DataFrame:
     of = {"places": ["source", "place_id"]} | {name: keys for name, (keys, _) in CHILDREN.items() if name in state}
     counts = []
     for name, keys in of.items():
-        t = state[name]
+        t = state[name] if name in WRITTEN else written(state[name], name)
         counts.append(t.join(entities, "entity_id", "left_anti").agg(F.count("*").alias("n")).select(F.lit(f"{name}_orphans").alias("what"), "n"))
         counts.append(t.groupBy(*keys).count().filter("count > 1").agg(F.count("*").alias("n")).select(F.lit(f"{name}_repeated").alias("what"), "n"))
     placed = state["places"].groupBy("entity_id").agg(F.count("*").alias("places"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import dedup
+from ..operators.scratch import written
 from .fixtures import VIEWS, view
 from .registry import Registry
 
@@ -40,7 +41,7 @@ POLICY_COLUMNS = ["name", "postcode", "brand_name", "is_known_brand", "confidenc
 
 def tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """Entities, places and six child tables before any merge."""
-    rows = view(spark, sf_dir, "dd_rows")
+    rows = written(view(spark, sf_dir, "dd_rows"), "rows")
     sorted_set = lambda c: F.array_sort(F.collect_set(c))
     mail = rows.filter("email is not null").withColumn("normalized_email", F.lower("email"))
     calls = rows.filter("phone is not null").withColumn("normalized_phone", F.right(F.regexp_replace("phone", "[^0-9]", ""), F.lit(10)))
@@ -128,8 +129,8 @@ FIXED = "WITH RECURSIVE " + CHILD_SQL.strip().replace("arg_min_null(name, {'r':
 LAST = str(PASSES)
 
 
-def _fixed(spark: SparkSession, sf_dir: str) -> dedup.Merged:
-    return dedup.to_fixed_point(tables(spark, sf_dir), PASSES)
+def _fixed(spark: SparkSession, sf_dir: str, logged: bool = False) -> dedup.Merged:
+    return dedup.to_fixed_point(tables(spark, sf_dir), PASSES, logged)
 
 
 @query(FIXED + f"""
@@ -142,7 +143,7 @@ def dedup_passes(spark, sf_dir):
 @query(FIXED + f"""
 SELECT pass, winner_id, merged_id, array_to_string(reasons, ',') AS reasons, array_to_string(merged_sources, ',') AS merged_sources FROM ({" UNION ALL ".join(f"SELECT * FROM log{i}" for i in range(1, PASSES + 1))})""")
 def dedup_merge_log(spark, sf_dir):
-    log = _fixed(spark, sf_dir).log
+    log = _fixed(spark, sf_dir, logged=True).log
     return log.select("pass", "winner_id", "merged_id", F.array_join("reasons", ",").alias("reasons"), F.array_join("merged_sources", ",").alias("merged_sources"))
 
 

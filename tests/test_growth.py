@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from prospectra.functions import markup, payloads
-from prospectra.operators import match, scratch
+from prospectra.operators import dedup, match, scratch
 from prospectra.plans import fixtures, requests
 from prospectra.streaming import lifecycle
 
@@ -124,3 +124,11 @@ def test_a_request_makes_few_calls_to_its_state():
     (two,) = p.handleInputRows((7,), iter([rows(range(60, 110))]), timers)
     assert one.events[0] == 100 and two.events[0] == 110 and calls == ["update", "get", "update"]
     assert sorted(value.kept[-2]) == list(range(50, 110))
+
+
+def test_pairs_of_blocks_need_no_self_join(spark):
+    """The members of a counted block give its pairs; a join with themselves made its plan twice."""
+    rows = spark.createDataFrame([("x", 1, ["a"]), ("x", 2, ["b"]), ("x", 3, ["a"]), ("y", 1, ["a"]), ("y", 2, None)] + [("z", i, [str(i)]) for i in range(6)], "k string, entity_id long, sources array<string>")
+    made = dedup.disjoint_pairs(rows, ["k"], 2, 5, "r")
+    assert sorted(map(tuple, made.collect())) == [(1, 2, "r"), (2, 3, "r")]
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
